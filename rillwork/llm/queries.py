@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import chat_digests
 from .mixing import mix
 from .quality_classifier import classify_quality
+from .quality_rules import quality_rules
 from .sharding import shard_manifest
+from .token_count import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +43,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_chat_formatting, op7_sharding, op9_mixing)}
+    found = (
+        op1_quality_classifier,
+        op2_quality_rules,
+        op4_chat_formatting,
+        op6_token_counts,
+        op7_sharding,
+        op9_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
