@@ -12,6 +12,7 @@ from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .sharding import shard_manifest
 from .token_count import count_tokens
+from .toxicity import classify_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_token_counts,
         op7_sharding,
         op9_mixing,
+        op10_toxicity,
     )
     return {f.__name__: f for f in found}
 
