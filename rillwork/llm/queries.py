@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_digests
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
@@ -27,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(_table(spark, sf_dir, "conversations"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
         op2_quality_rules,
+        op3_jaccard_join,
         op4_chat_formatting,
         op6_token_counts,
         op7_sharding,
