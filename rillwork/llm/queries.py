@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_digests
+from .decontamination import decontaminate
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .quality_classifier import classify_quality
@@ -36,6 +37,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_quality_rules,
         op3_jaccard_join,
         op4_chat_formatting,
+        op5_decontamination,
         op6_token_counts,
         op7_sharding,
         op9_mixing,
