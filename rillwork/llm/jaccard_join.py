@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -45,101 +45,80 @@ def _sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return T.distinct(*T.grams(*T.words(texts), n))
 
 
+def _cell(v: np.ndarray) -> np.ndarray:
+    return (T.mixed(v ^ np.uint64(77)) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): a digest of each document's set."""
+    """(doc_id, n_shingles, h1, h2, is_cell): a digest of each document's set.
+
+    Where is_cell, how many shingles (h2) fall in a cell (h1) in some part of the table.
+    """
+    names = ["doc_id", "n_shingles", "h1", "h2", "is_cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(CELLS, np.int64)
         for batch in batches:
             texts = T.blobs(batch.column(1))
             size, one, two = [], [], []
             for i, j in T.chunks(texts):
                 v, at = _sets(texts[i:j], n)
+                count += np.bincount(_cell(v), minlength=CELLS)
                 for salt, out in ((1, one), (2, two)):
                     s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mixed(v ^ np.uint64(salt)), dtype=np.uint64)])
                     out.append((s[at[1:]] - s[at[:-1]]).view(np.int64))
                 size.append(np.diff(at))
             flat = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (size, one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *flat], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *flat, pa.array(np.zeros(batch.num_rows, bool))], names)
+        cell = np.flatnonzero(count)
+        none = pa.nulls(len(cell), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(cell), pa.array(count[cell]), pa.array(np.ones(len(cell), bool))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, is_cell boolean")
 
 
-def _set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles, bits): the sorted set and the signature of each document with a set."""
+def _set_rows(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """(doc_id, n, text, bits, prefix) of each document with a set: its size, signature and the shingles of its prefix."""
+    # cells are ordered by how far they stand out, in powers of two, then shingles by hash
+    step = np.log2(np.maximum(counts / max(float(np.median(counts)), 1.0), 1.0)).round().astype(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value.astype(np.uint64)
         for batch in batches:
             texts = T.blobs(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
             for i, j in T.chunks(texts):
                 v, at = _sets(texts[i:j], n)
-                bits = []
-                for k in range(j - i):
-                    own = v[at[k] : at[k + 1]]
-                    width = max(64, 1 << math.ceil(math.log2(max(len(own), 1) * BITS_PER_SHINGLE)))
+                place = (ranks[_cell(v)] << np.uint64(56)) | (T.mixed(v) >> np.uint64(8))
+                low = T.mixed(v)
+                size = np.diff(at)
+                bits, prefix = [], []
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    width = max(64, 1 << math.ceil(math.log2(max(y - x, 1) * BITS_PER_SHINGLE)))
                     b = np.zeros(width, np.uint8)
-                    b[(T.mixed(own) & np.uint64(width - 1)).astype(np.int64)] = 1
+                    b[(low[x:y] & np.uint64(width - 1)).astype(np.int64)] = 1
                     bits.append(np.packbits(b).tobytes())
-                signed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), signed, pa.array(bits, pa.binary())], ["doc_id", "shingles", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, bits binary")
-
-
-def _cell(v: np.ndarray) -> np.ndarray:
-    return (T.mixed(v ^ np.uint64(77)) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    at = column.offsets.to_numpy()
-    return column.values.to_numpy()[at[0] : at[-1]].view(np.uint64), (at - at[0]).astype(np.int64)
+                    # similar sets share more than size - ceil(percent * size / 100) shingles with each
+                    first = np.argsort(place[x:y], kind="stable")[: y - x - -(-percent * (y - x) // 100) + 1]
+                    prefix.append(v[x:y][first].view(np.int64))
+                ends = np.cumsum([0, *map(len, prefix)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
+                rows = [batch.column(0).cast(pa.int64()).slice(i, j - i), pa.array(size), batch.column(1).slice(i, j - i), pa.array(bits, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n", "text", "bits", "prefix"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, text string, bits binary, prefix array<long>").filter("n > 0")
 
-def _cell_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall in each cell: CELLS numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            count += np.bincount(_cell(_lists(batch.column(0))[0]), minlength=CELLS)
-        cell = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], ["cell", "n"])
-
-    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CELLS, np.int64)
-    out[found["cell"].to_numpy(int)] = found["n"].to_numpy(int)
-    return out
 
+def _verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: bit counts first, then the exact intersection.
 
-def _tiles(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(key, band, id, n): each class in the tiles of its prefix, in its own size band and the one above."""
-    # twice the median is one step: cells are ordered by how far they stand out, then by hash
-    step = np.log2(np.maximum(counts / max(float(np.median(counts)), 1.0), 1.0)).round().astype(np.uint64)
-    shared = sets.sparkSession.sparkContext.broadcast(step.astype(np.uint8))
+    ``sets`` is bucketed by id, so only pairs are shuffled.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        for batch in batches:
-            v, at = _lists(batch.column(1))
-            who = T.owner(at)
-            order = np.lexsort((T.mixed(v), ranks[_cell(v)], who))
-            size = np.diff(at)
-            # similar sets share more than size - ceil(percent * size / 100) shingles with each
-            prefix = size - -(-percent * size // 100) + 1
-            place = np.arange(len(v)) - np.repeat(at[:-1], size)
-            pick = order[place < np.repeat(prefix, size)]
-            ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(v[pick].view(np.int64)), pa.array(ids[who[pick]]), pa.array(size[who[pick]].astype(np.int64))], ["key", "id", "n"])
-
-    flat = sets.select("doc_id", "shingles").mapInArrow(run, "key long, id long, n long")
-    return flat.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent))).cast("int"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, then the exact intersection."""
-    small = sets.select("doc_id", F.size("shingles").alias("n"), "bits")
-    side = lambda k: small.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-    bounded = pairs.join(side("a"), "a").join(side("b"), "b")
+    def joined(left: DataFrame, columns: list[str]) -> DataFrame:
+        for k in "ab":
+            left = sets.select(F.col("doc_id").alias(k), *[F.col(c).alias(c + k) for c in columns]).join(left.hint("shuffle_hash"), k)
+        return left.select("a", "b", *[c + k for c in columns for k in "ab"])
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,22 +136,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = 100 * most >= percent * (na + nb - most)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    may = bounded.select("a", "b", F.col("na").cast("long"), F.col("nb").cast("long"), "bitsa", "bitsb").mapInArrow(fits, "a long, b long")
-    arrays = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}"))
-    both = may.join(arrays("a"), "a").join(arrays("b"), "b").select("a", "b", "sa", "sb")
+    may = joined(pairs, ["n", "bits"]).mapInArrow(fits, "a long, b long")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, x_at), (y, y_at) = _lists(batch.column(2)), _lists(batch.column(3))
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
+            for i, (x, y) in enumerate(zip(T.blobs(batch.column(2)), T.blobs(batch.column(3)), strict=True)):
+                v, at = _sets([x, y], n)
+                p, q = v[: at[1]], v[at[1] :]
                 k = np.searchsorted(q, p)
                 common = int((q[np.minimum(k, len(q) - 1)] == p).sum())
                 keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(exact, "a long, b long")
+    return joined(may, ["text"]).mapInArrow(exact, "a long, b long")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -185,35 +162,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     Sets of word n-grams link when 100 * intersection >= percent * union.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    digests = scratch.put("digests", _digests(docs, n))
+    seen = scratch.put("digests", _digests(docs, n))
+    digests = seen.filter("not is_cell").drop("is_cell")
+    found = seen.filter("is_cell").groupBy("h1").agg(F.sum("h2").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["h1"].to_numpy(int)] = found["n"].to_numpy(int)
     keys = ["n_shingles", "h1", "h2"]
     classes = digests.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     classes = scratch.put("classes", classes)
     chosen = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # a repeated id with different texts stands for its largest set
-    sets = _set_rows(chosen, n).filter(F.size("shingles") > 0)
-    sets = scratch.put("sets", sets)
-    counts = _cell_counts(sets)
-    flat = _tiles(sets, counts, percent)
-    tiles = flat.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
-    shared = tiles.groupBy("key", "tile").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("p1"), F.max(F.struct(F.xxhash64("id"), "id", "n")).alias("p2")).filter("m > 1")
-    shared = scratch.put("tiles", shared)
-    rows = scratch.put("rows", tiles.join(shared, ["key", "tile"]).select("key", "tile", "id", "n", "band", "p1", "p2"))
+    sets, drop_sets = scratch.bucketed("sets", _set_rows(chosen, n, percent, counts), "doc_id")
+    flat = sets.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"), "n")
+    shared = flat.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent))).cast("int")
+    tiles = shared.withColumn("tile", F.explode(F.array(band, band + 1)))
+    tile = Window.partitionBy("key", "tile")
+    who = F.struct(F.xxhash64("id"), "id", "n")
+    rows = tiles.select("key", "tile", "id", "n", F.min(who).over(tile).alias("p1"), F.max(who).over(tile).alias("p2")).filter("p1.id <> p2.id")
+    rows = scratch.put("rows", rows)
     pivots = [rows.select("id", "n", F.col(f"{p}.id").alias("other"), F.col(f"{p}.n").alias("other_n")) for p in ("p1", "p2")][:PIVOT_ROUNDS]
     met = pivots[0]
     for p in pivots[1:]:
         met = met.unionByName(p)
     pair = lambda d: d.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    first = scratch.put("first", _verified(pair(met.filter((F.col("id") != F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))), sets, percent))
+    first = scratch.put("first", _verified(pair(met.filter((F.col("id") != F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))), sets, n, percent))
     known = scratch.put("known", components(first, scratch, "first-components"))
     label = known.select(F.col("id"), "component")
-    labelled = rows.select("key", "tile", "id", "n", "band").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = rows.select("key", "tile", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key", "tile")
     rest = scratch.put("rest", labelled.join(mixed, ["key", "tile"]))
-    x = rest.select("key", "tile", "id", "n", "band", "component")
+    x = rest.select("key", "tile", "id", "n", "component")
     y = rest.select("key", "tile", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
     cross = x.join(y, ["key", "tile"]).filter((F.col("component") != F.col("other_component")) & (F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))
-    second = scratch.put("second", _verified(pair(cross), sets, percent))
+    second = scratch.put("second", _verified(pair(cross), sets, n, percent))
+    drop_sets()
     final = components(first.unionByName(second), scratch, "all-components")
     whole = classes.join(final, F.col("rep") == F.col("id"), "left").select(*[F.col(k).alias(f"c_{k}") for k in keys], F.coalesce("component", "rep").alias("component"))
     same = [F.col(k) == F.col(f"c_{k}") for k in keys]

@@ -7,6 +7,7 @@ session names none (local tests) a local folder is used.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, name: str, df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], object]]:
+        """A table in the warehouse with as many buckets by key as shuffles have partitions, and what drops it."""
+        table = f"scratch_{name}_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+        return self.spark.table(table), lambda: self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -124,10 +124,9 @@ def owner(at: np.ndarray) -> np.ndarray:
 
 def distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's values, ascending and without repeats."""
-    who = owner(at)
-    order = np.lexsort((values, who))
-    v, w = values[order], who[order]
+    v, who = values.copy(), owner(at)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        v[a:b].sort()
     keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    v, w = v[keep], w[keep]
-    return v, np.searchsorted(w, np.arange(len(at)))
+    keep[1:] = (v[1:] != v[:-1]) | (who[1:] != who[:-1])
+    return v[keep], np.searchsorted(who[keep], np.arange(len(at)))
