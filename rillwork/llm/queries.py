@@ -13,6 +13,7 @@ from .mixing import mix
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .sharding import shard_manifest
+from .substring_dedup import remove_repeats
 from .token_count import count_tokens
 from .toxicity import classify_toxicity
 
@@ -49,6 +50,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_decontamination,
         op6_token_counts,
         op7_sharding,
+        op8_substring_dedup,
         op9_mixing,
         op10_toxicity,
     )
