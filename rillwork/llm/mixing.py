@@ -2,8 +2,9 @@
 
 DataFrame operations only.  Sizes are words.  Each source has a target share
 of all words; equal blocks of words are given to the sources one by one, each
-to the source with the highest quotient target / (2 * blocks so far + 1).  The
-documents of a source stand on a line in seeded order; the blocks that it
+to the source with the highest quotient target / (2 * blocks so far + 1).  A
+block is at most 1 / BLOCKS_PER_TARGET of the smallest target (one word at
+least), so a small source is served in a corpus of any size.  The documents of a source stand on a line in seeded order; the blocks that it
 gets are a run of that line from a seeded block on, going round at the end.
 
 Defined cases: a null text has size 0 and gives nothing; a null source is a
@@ -25,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 N_SHARDS = 16
 BLOCKS_PER_SHARD = 1024
+#: Blocks that the smallest target is worth at least, unless blocks are one word.
+BLOCKS_PER_TARGET = 64
 SEED = 7
 #: The line of a source is laid out in so many parts, so that a source of any size is spread.
 LINE_PARTS = 4096
@@ -61,9 +64,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return per.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * (F.col("total") - spent) / open_weight)).select("source", "source_size", "rank", "total", "target")
 
 
-def shard_quotas(targets: DataFrame, n_shards: int = N_SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+def shard_quotas(targets: DataFrame, n_shards: int = N_SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, blocks_per_target: int = 0) -> DataFrame:
     """(source, rank, source_size, target, block, shard, blocks): integer blocks of each source in each shard.
 
+    With ``blocks_per_target`` blocks are no larger than that part of the smallest positive target.
+
     Sainte-Laguë gives more seats without ever taking one back, so the blocks of
     a shard are the seats of a longer list less those of a shorter one.  The
     seats at a length are found without dealing them all out: a source's seats
@@ -71,7 +76,11 @@ def shard_quotas(targets: DataFrame, n_shards: int = N_SHARDS, blocks_per_shard:
     that range are ranked, 6 rows a source on average.
     """
     every = Window.partitionBy()
-    ends = targets.withColumn("block", F.greatest(F.lit(1).cast("long"), F.expr(f"total div {n_shards * blocks_per_shard}"))).withColumn("seats", F.expr("total div block")).withColumn("n_sources", F.count("*").over(every)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    block = F.expr(f"total div {n_shards * blocks_per_shard}")
+    if blocks_per_target:
+        smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+        block = F.least(block, F.floor(smallest / blocks_per_target))
+    ends = targets.withColumn("block", F.greatest(F.lit(1).cast("long"), block)).withColumn("seats", F.expr("total div block")).withColumn("n_sources", F.count("*").over(every)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     share = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
     ends = (
         ends.withColumn("until", F.expr(f"(seats * (shard + 1)) div {n_shards}"))
@@ -104,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_shards: int = N_S
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"), *row)
     targets = source_targets(sized.select("source", "size"), weights)
     runs = (
-        shard_quotas(targets, n_shards, blocks_per_shard)
+        shard_quotas(targets, n_shards, blocks_per_shard, BLOCKS_PER_TARGET)
         .groupBy("rank", "source", "source_size", "target", "block")
         .agg(F.sum("blocks").alias("blocks"))
         .withColumn("length", F.least(F.col("blocks") * F.col("block"), F.col("source_size") * MOST_REPEATS))

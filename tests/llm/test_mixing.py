@@ -72,3 +72,16 @@ def test_whole_documents_and_empty_table(spark):
     assert mix(docs.limit(0)).count() == 0
     (only,) = mix(spark.createDataFrame([(1, None, None, 1, None)], SCHEMA)).collect()
     assert (only["size"], only["source_size"], only["taken"]) == (0, 0, 0)
+
+
+def test_small_sources_are_served_beside_a_large_one(spark):
+    docs = [(i, "big", "w " * 5000, 1, "x") for i in range(200)] + [(1000 + i, "mid", "w " * 11, 1, "x") for i in range(9)] + [(2000 + i, "small", "w w", 1, "x") for i in range(4)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    want = targets_of({"big": 1_000_000, "mid": 99, "small": 8})
+    source, taken = {d[0]: d[1] for d in docs}, Counter()
+    for r in mix(frame).collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+    for s, target in want.items():
+        assert abs(taken[s] - target) <= 0.05 * target + 1, s
+    times = Counter(r["doc_id"] for r in mixed_documents(frame).collect())
+    assert {times[d[0]] for d in docs if d[1] != "big"} == {3}
