@@ -13,8 +13,9 @@ turn, so a benchmark of any size is compared with all documents.
 
 Defined cases: a null or empty text has no words and is clean; an item of fewer
 than MIN_MATCH words is too short to be told from chance and matches nothing;
-repeated rows are judged alike; of items with equal coverage the smallest id is
-named; an empty table on either side gives clean documents.
+each row of documents gives one row, whatever its id, and is judged by its own
+text; of items with equal coverage the smallest id is named, one without an id
+(which can't be named) last; an empty table on either side gives clean documents.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b
 
 
 class Block(NamedTuple):
-    """Items of a block: their ids, words one after the other, where each starts; seeds in order of hash with their places."""
+    """Items of a block: their ids (or null), words one after the other, where each starts; seeds in order of hash with their places."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: np.ndarray
     at: np.ndarray
     seeds: np.ndarray
@@ -53,12 +54,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return T.words([t.translate(_PUNCTUATION) for t in texts])
 
 
-def block_of(ids: list[int], texts: list[bytes]) -> Block:
+def block_of(ids: list[int | None], texts: list[bytes]) -> Block:
     words, at = tokens(texts)
     seeds, seed_at = T.grams(words, at, MIN_MATCH, whole=False)
     places = np.arange(len(seeds)) - np.repeat(seed_at[:-1] - at[:-1], np.diff(seed_at))
     order = np.argsort(seeds, kind="stable")
-    return Block(np.array(ids, np.int64), words, at, seeds[order], places[order])
+    return Block(ids, words, at, seeds[order], places[order])
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> int:
@@ -88,7 +89,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> in
     return covered
 
 
-def coverages(texts: list[bytes], block: Block, threshold: float) -> Iterator[tuple[int, int, float]]:
+def coverages(texts: list[bytes], block: Block, threshold: float) -> Iterator[tuple[int, int | None, float]]:
     """(text, item id, coverage) of what reaches the threshold."""
     if not len(block.seeds):
         return
@@ -117,11 +118,11 @@ def coverages(texts: list[bytes], block: Block, threshold: float) -> Iterator[tu
                 continue
             share = tiles(block.words[block.at[q] : block.at[q + 1]], words[at[d] : at[d + 1]], i, j) / size[q]
             if share >= threshold:
-                yield x + d, int(block.ids[q]), float(share)
+                yield x + d, block.ids[q], float(share)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     for k in range(n):
@@ -130,41 +131,36 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Blo
             yield block_of([r["item_id"] for r in rows], [r["text"].encode() for r in rows])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "doc_id", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """For each block, (column, item_id, coverage) of each row: its best covered item, or nulls."""
-    out = []
-    own = docs.select(F.col(f"`{column}`"), "text")
-    schema = f"`{column}` {own.schema[column].dataType.simpleString()}, item_id long, coverage double"
-    for block in blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+def judged(rows: DataFrame, block: Block, threshold: float) -> DataFrame:
+    """Rows (doc_id, text, item_id, coverage) with the best covered item so far, those of the block among them."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    rank = lambda item, share: (share, item is not None, -(item or 0))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                best: dict[int, tuple[float, int]] = {}
-                for d, item, share in coverages(T.blobs(batch.column(1)), shared.value, threshold):
-                    best[d] = max(best.get(d, (0.0, 0)), (share, -item))
-                rows = [best.get(d) for d in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([-r[1] if r else None for r in rows], pa.int64()), pa.array([r[0] if r else None for r in rows], pa.float64())], [column, "item_id", "coverage"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, shares = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for d, item, share in coverages(T.blobs(batch.column(1)), shared.value, threshold):
+                if shares[d] is None or rank(item, share) > rank(items[d], shares[d]):
+                    items[d], shares[d] = item, share
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], batch.schema.names)
 
-        out.append(own.mapInArrow(run, schema))
-    return out
+    return rows.mapInArrow(run, rows.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, contaminated, item_id, coverage) for each document, with the best covered item or null.
+    """(doc_id, contaminated, item_id, coverage) for each row of docs, with the best covered item or null.
 
-    With one block nothing is shuffled.  With more, rows of equal id are one row.
+    Nothing is shuffled.  With more than one block, rows are written after each but the last.
     """
-    found = leaks(docs, benchmark, "doc_id", threshold, block_bytes)
-    if not found:
-        return docs.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"))
-    out = found[0]
-    if len(found) > 1:
-        for f in found[1:]:
-            out = out.unionByName(f)
-        best = F.max(F.when(F.col("item_id").isNotNull(), F.struct("coverage", (-F.col("item_id")).alias("item"))))
-        out = out.groupBy("doc_id").agg(best.alias("best")).select("doc_id", (-F.col("best.item")).alias("item_id"), F.col("best.coverage").alias("coverage"))
-    return out.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "coverage")
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    rows = docs.select("doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"))
+    for k, block in enumerate(blocks(benchmark, block_bytes)):
+        if k:
+            rows = scratch.put(f"judged-{k}", rows)
+            if k > 1:
+                scratch.drop(f"judged-{k - 1}")
+        rows = judged(rows, block, threshold)
+    return rows.select("doc_id", F.col("coverage").isNotNull().alias("contaminated"), "item_id", "coverage")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:

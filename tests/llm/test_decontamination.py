@@ -52,3 +52,16 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontaminate(docs, none).collect()] == [False]
     assert decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_rows_stay_rows_and_items_without_an_id_count(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    bench = spark.createDataFrame([(1, one), (None, two), (None, three), (4, three)], "item_id long, text string")
+    rows = [(1, one), (1, "clean"), (1, one), (2, two), (None, one), (None, "clean"), (None, three), (3, f"{one} {two}"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, True, 1), (1, False, None), (1, True, 1), (2, True, None), (None, True, 1), (None, False, None), (None, True, 4), (3, True, 1), (4, False, None)], key=str)
+    for block_bytes in (1 << 20, 20):
+        got = decontaminate(docs, bench, block_bytes=block_bytes).collect()
+        assert sorted(((r["doc_id"], r["contaminated"], r["item_id"]) for r in got), key=str) == want
+        assert all((r["coverage"] == 1.0) if r["contaminated"] else r["coverage"] is None for r in got)
+        assert sorted(r["text"] or "" for r in without_benchmark(docs, bench, block_bytes=block_bytes).collect()) == ["", "clean", "clean"]
