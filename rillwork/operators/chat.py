@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GIFT_KINDS = ("purchase", "signup")
+#: The reference's list: English, Chinese, chat expressions.
+STOP_WORDS = tuple(
+    """
+    the a an is are was were be been being have has had do does did will would could should may might must shall can need dare to of in for on with at by
+    from as into through during before after above below between under again further then once here there when where why how all each few more most other
+    some such no nor not only own same so than too very just and but if or because until while this that these those it its he she they them his her their
+    what which who whom 的 了 是 在 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 lol lmao haha hehe xd gg ez wp 666 233 哈哈 呵呵 嘿嘿
+    """.split()
+)
 
 
 def micros(ts: Column) -> Column:
@@ -86,6 +95,17 @@ def words(texts: DataFrame, *by: str) -> DataFrame:
     return texts.select(*by, word.alias("word")).filter(F.length("word") >= 2).groupBy(*by, "word").agg(F.count("*").alias("n"))
 
 
+def unicode_words(texts: DataFrame, *by: str, extra_stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """How often each word of two characters or more occurs, in lower case, stop words left out.
+
+    Words are runs of what Unicode calls alphabetic or numeric.  There is no
+    dictionary for Chinese and Japanese: a run without separators is one word.
+    """
+    word = F.explode(F.split(F.coalesce("text", F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"))
+    found = texts.select(*by, word.alias("word")).filter(F.length("word") >= 2).withColumn("word", F.lower("word"))
+    return found.filter(~F.col("word").isin(*STOP_WORDS, *extra_stop_words)).groupBy(*by, "word").agg(F.count("*").alias("n"))
+
+
 def session_summary(msgs: DataFrame, width_s: int = 3600) -> DataFrame:
     """One row for each kind: messages, senders, the top talker and the rate's peak.
 

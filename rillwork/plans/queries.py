@@ -121,6 +121,20 @@ def word_frequency_by_lang(docs: DataFrame) -> DataFrame:
     return store.keep_newest(chat.words(docs, "lang"), "lang", [F.desc("n"), F.col("word")], 20).drop("place")
 
 
+_STOP = ", ".join(f"'{w}'" for w in chat.STOP_WORDS)
+_UNICODE_WORD = "select {by} lower(w) word from (select {by} unnest(regexp_split_to_array(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+')) w from documents) where length(w) >= 2"
+
+
+@query("documents", f"select word, count(*) n from ({_UNICODE_WORD.format(by='')}) where word not in ({_STOP}) group by 1 order by n desc, word limit 50")
+def word_frequency_unicode(docs: DataFrame) -> DataFrame:
+    return chat.top(chat.unicode_words(docs), "word", 50)
+
+
+@query("documents", f"select lang, word, n from (select *, row_number() over (partition by lang order by n desc, word) p from (select lang, word, count(*) n from ({_UNICODE_WORD.format(by='lang,')}) where word not in ({_STOP}) group by 1, 2)) where p <= 20")
+def word_frequency_unicode_by_lang(docs: DataFrame) -> DataFrame:
+    return store.keep_newest(chat.unicode_words(docs, "lang"), "lang", [F.desc("n"), F.col("word")], 20).drop("place")
+
+
 @query("orders", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice > 1000 order by o_totalprice desc, o_orderkey limit 50 offset 50")
 def filter_conjunctive_page(orders: DataFrame) -> DataFrame:
     found = orders.filter((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 1000)).select("o_orderkey", "o_custkey", "o_totalprice")
