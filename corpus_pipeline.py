@@ -14,7 +14,7 @@ from rillwork.llm.decontamination import without_benchmark
 from rillwork.llm.jaccard_join import without_near_duplicates
 from rillwork.llm.mixing import mixed_documents
 from rillwork.llm.scratch import Scratch
-from rillwork.llm.sharding import external_shuffle
+from rillwork.llm.sharding import shard_documents
 from rillwork.llm.toxicity import without_toxic
 
 
@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return external_shuffle(docs, ["doc_id", "text"], record_bytes="coalesce(octet_length(text), 0) + 64")
+    return shard_documents(docs)
 
 
 STAGES = [

@@ -13,22 +13,19 @@ repeated rows are separate records; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 N_SHARDS = 16
 BUCKET_BYTES = 32 << 20
 SEED = 11
-
-
-def digests(docs: DataFrame) -> DataFrame:
-    """The records of the shard manifest: (doc_id, size, text_crc32)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+#: What scatters whole documents, and the size of one in SQL.
+DOCUMENT_KEY = ("doc_id", "text")
+DOCUMENT_BYTES = "coalesce(octet_length(text), 0) + 64"
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -57,26 +54,42 @@ def external_shuffle(records: DataFrame, key: list[str], n_shards: int = N_SHARD
     flat = scattered.select("bucket", "place", *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(columns)])
     tie = [f"c{i}" for i, (c, kind) in enumerate(records.dtypes) if c not in key and not kind.startswith(("array", "map", "struct"))]
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", *tie], kind="stable", ignore_index=True)
-        out = pdf.iloc[fisher_yates(len(pdf), np.random.default_rng([seed, int(pdf["bucket"].iloc[0])]))].drop(columns="place")
-        return out.assign(inside=np.arange(len(out), dtype=np.int64))
+    def order(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("place", *tie)])
+        out = rows.take(pa.array(fisher_yates(len(rows), np.random.default_rng([seed, rows["bucket"][0].as_py()]))))
+        return out.drop_columns("place").append_column("inside", pa.array(np.arange(len(out), dtype=np.int64)))
 
-    shuffled = flat.groupBy("bucket").applyInPandas(order, ", ".join(["bucket long", *[f"c{i} {kind}" for i, (_, kind) in enumerate(records.dtypes)], "inside long"]))
+    shuffled = flat.groupBy("bucket").applyInArrow(order, ", ".join(["bucket long", *[f"c{i} {kind}" for i, (_, kind) in enumerate(records.dtypes)], "inside long"]))
     at = F.col("start") + F.col("inside")
     shard = F.expr(f"((start + inside) * {n_shards}) div total")
     # the first place whose shard is k is k * total / n_shards, rounded up
     slot = at - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
-    return shuffled.join(starts, F.col("bucket") == F.col("of")).withColumn("shard", shard).withColumn("slot", slot).select(*own, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return shuffled.join(F.broadcast(starts), F.col("bucket") == F.col("of")).withColumn("shard", shard).withColumn("slot", slot).select(*own, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
     """One folder for each shard, its records by slot."""
-    shuffled.repartitionByRange(max(n_shards, int(shuffled.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shuffled.repartitionByRange(max(n_shards, int(shuffled.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "slot").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
-def shard_manifest(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each document."""
-    out = external_shuffle(digests(docs), ["doc_id", "text_crc32"], n_shards, record_bytes="48", seed=seed)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The whole documents with ``shard`` and ``slot``."""
+    return external_shuffle(docs, list(DOCUMENT_KEY), n_shards, bucket_bytes, DOCUMENT_BYTES, seed)
+
+
+def shard_manifest(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, path: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each document.
+
+    The documents are sharded whole and written (to ``path``, or a folder that
+    all executors share); the manifest is read from what was written.  Own
+    columns named shard or slot are written as record_shard and record_slot.
+    """
+    spark = docs.sparkSession
+    path = path or f"{Scratch(spark, 'sharding').root}/shards"
+    out = shard_documents(docs.toDF(*[f"record_{c}" if c.lower() in ("shard", "slot") else c for c in docs.columns]), n_shards, seed)
+    write_shards(out, path, n_shards)
+    written = spark.read.schema(out.schema).parquet(path)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return written.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

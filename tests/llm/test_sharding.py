@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from rillwork.llm.sharding import external_shuffle, fisher_yates, shard_manifest, write_shards
+from rillwork.llm.sharding import external_shuffle, fisher_yates, shard_documents, shard_manifest, write_shards
 
 
 def check_rows_law(shards, slots, n):
@@ -50,3 +50,15 @@ def test_empty_table_and_fewer_rows_than_shards(spark):
     assert shard_manifest(spark.createDataFrame([], schema)).count() == 0
     got = shard_manifest(spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], schema)).collect()
     assert len({(r["shard"], r["slot"]) for r in got}) == 3 and {r["slot"] for r in got} == {0}
+
+
+def test_manifest_is_of_whole_written_documents(spark, tmp_path):
+    rows = [(2**60 + i if i % 5 else None, f"text {i}", [i], f"s{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, list array<long>, slot string")
+    got = shard_manifest(docs, path=f"{tmp_path}/shards").collect()
+    written = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r["doc_id"], r["text"], tuple(r["list"]), r["record_slot"]) for r in written) == Counter((a, b, tuple(c), d) for a, b, c, d in rows)
+    place = lambda r: (r["doc_id"], r["shard"], r["slot"])
+    assert Counter(map(place, got)) == Counter(map(place, written)) == Counter(map(place, shard_documents(docs.withColumnRenamed("slot", "own")).collect()))
+    by_place = {(r["shard"], r["slot"]): r["text"].encode() for r in written}
+    assert all((len(t) + 1, zlib.crc32(t)) == (r["size"], r["text_crc32"]) for r in got for t in [by_place[r["shard"], r["slot"]]])
