@@ -22,6 +22,8 @@ from .scratch import Scratch
 
 N_SHARDS = 16
 BUCKET_BYTES = 32 << 20
+#: Records of equal key are spread if they fill more than this part of a bucket.
+HOT_PART = 8
 SEED = 11
 #: What scatters whole documents, and the size of one in SQL.
 DOCUMENT_KEY = ("doc_id", "text")
@@ -41,14 +43,22 @@ def external_shuffle(records: DataFrame, key: list[str], n_shards: int = N_SHARD
     """The records with ``shard`` and ``slot``, gapless from 0 in each shard.
 
     ``key`` names the columns whose hash scatters the records, ``record_bytes``
-    is a record's size in SQL.  The number of buckets follows the bytes.
+    is a record's size in SQL.  The number of buckets follows the bytes.  Records
+    of equal key that would fill much of a bucket are spread copy by copy.
     """
     spark = records.sparkSession
-    n_bytes = records.agg(F.sum(F.expr(record_bytes))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // bucket_bytes))
     columns = records.columns
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])
-    scattered = records.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), hashed.alias("place")).withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(n)))
+    placed = records.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), hashed.alias("place"))
+    sizes = records.select(hashed.alias("place"), F.expr(record_bytes).alias("size")).groupBy("place").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    n_bytes, hot = sizes.agg(F.sum("size"), F.collect_list(F.when((F.col("n") > 1) & (F.col("size") > bucket_bytes // HOT_PART), F.col("place")))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes or 0) // bucket_bytes))
+    if hot:
+        # equal records are counted, not gathered; each copy has a place of its own
+        copies = placed.filter(F.col("place").isin(hot)).groupBy("place", "row").count().withColumn("copy", F.explode(F.expr("sequence(1L, count)")))
+        own = [F.col("row").getField(c) for c, kind in records.dtypes if "map<" not in kind]
+        placed = placed.filter(~F.col("place").isin(hot)).unionByName(copies.select("row", F.xxhash64("place", "copy", *own).alias("place")))
+    scattered = placed.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(n)))
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = counts.select(F.col("bucket").alias("of"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
     flat = scattered.select("bucket", "place", *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(columns)])

@@ -62,3 +62,16 @@ def test_manifest_is_of_whole_written_documents(spark, tmp_path):
     assert Counter(map(place, got)) == Counter(map(place, written)) == Counter(map(place, shard_documents(docs.withColumnRenamed("slot", "own")).collect()))
     by_place = {(r["shard"], r["slot"]): r["text"].encode() for r in written}
     assert all((len(t) + 1, zlib.crc32(t)) == (r["size"], r["text_crc32"]) for r in got for t in [by_place[r["shard"], r["slot"]]])
+
+
+def test_equal_records_are_spread(spark):
+    rows = [(None, "same" * 5, 0)] * 600 + [(7, "other", i) for i in range(200)] + [(100 + i, f"text {i}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    shard = lambda d: shard_documents(d, 4, bucket_bytes=4000).collect()
+    got = shard(docs)
+    assert Counter((r["doc_id"], r["text"], r["n"]) for r in got) == Counter(rows)
+    check_rows_law([r["shard"] for r in got], [r["slot"] for r in got], 4)
+    for group, n in ((None, 600), (7, 200)):
+        seen = Counter(r["shard"] for r in got if r["doc_id"] == group)
+        assert all(n / 8 < seen[k] < n / 2 for k in range(4)), seen
+    assert set(got) == set(shard(docs.repartition(5)))
