@@ -3,7 +3,8 @@
 The stages that filter keep every clean document; mixing repeats or leaves out
 documents so that sources meet their targets; sharding adds ``shard`` and
 ``slot``.  SQL can express neither compression lengths nor greedy tiling, so
-there is no oracle: each stage is tested against its operator's brute force.
+there is no oracle.  The rows of near_duplicates are compared with brute force;
+the other stages only through the tests of their operators.
 """
 
 from __future__ import annotations

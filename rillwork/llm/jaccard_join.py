@@ -203,9 +203,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the smallest id), all columns as they are."""
+    """One document of each component (the smallest id), all columns as they are.
+
+    Rows of the kept id with equal texts are one document: one of them stays,
+    chosen by a hash of its columns.  Rows of one id with different texts are
+    told apart and all stay; so do rows with a null id.
+    """
     found = jaccard_components(docs.select("doc_id", "text"), n, percent)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    kept = Scratch(docs.sparkSession, "near-duplicates").put("kept", kept)
     names = docs.columns
     held = docs.select(F.col("doc_id").alias("held_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return held.join(kept, F.col("held_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*[F.col("row").getField(c).alias(c) for c in names])
+    whole = lambda some: held.join(some, F.col("held_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = F.col("kept_id").isNotNull() & (F.col("kept_rows") > 1)
+    if kept.filter(repeated).isEmpty():
+        out = whole(kept)
+    else:
+        by = F.xxhash64(*[F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind])
+        one = whole(kept.filter(repeated)).withColumn("by", by).groupBy("held_id", F.col("row").getField("text").alias("of")).agg(F.min_by("row", "by").alias("row"))
+        out = whole(kept.filter(~repeated)).select("row").unionByName(one.select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -59,3 +59,16 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as component", "3 as row")
     assert sorted(r["component_id"] for r in jaccard_components(docs).filter("doc_id is not null").collect()) == [1, 1, 1]
     assert without_near_duplicates(docs).columns == docs.columns
+
+
+def test_one_document_of_each_component_stays(spark):
+    from corpus_pipeline import near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    kept_ids = {c for i, _, c in brute([tuple(r) for r in docs.collect()], 5, 80)}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    extra = [(-1, "a b c d e f"), (-1, "a b c d e f"), (-1, "a b c d e f"), (-2, None), (-2, None), (None, "a b c d e f"), (None, "a b c d e f"), (-3, "A b c d e f")]
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame(extra, SCHEMA)).selectExpr("*", "'x' as source")
+    want = [(i, texts[i]) for i in kept_ids] + [(-3, "A b c d e f"), (-2, None), (None, "a b c d e f"), (None, "a b c d e f")]
+    got = near_duplicates(spark, twice, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
