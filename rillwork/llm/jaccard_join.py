@@ -11,7 +11,8 @@ sorted arrays intersected, which is exact.
 In a large tile most classes are alike.  So each class is first compared with a
 few pivots of its tiles; what links is joined to components, and afterwards
 only pairs in different components are compared.  No component is missed, as
-every pair that meets in a tile is compared or known to be connected.
+every pair that meets in a tile is compared or known to be connected.  The
+result is components, not links: pairs known to be connected aren't compared.
 
 Defined cases: a text with fewer words than a shingle is one whole shingle; null
 and empty texts, and texts without words, have the empty set and link with
