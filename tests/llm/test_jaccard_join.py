@@ -53,6 +53,42 @@ def test_chains_and_hot_groups(spark):
     assert got == brute(rows, 4, 85)
 
 
+def test_boilerplate_that_does_not_link_makes_few_pairs(spark, monkeypatch):
+    from rillwork.llm import jaccard_join
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(f"x{k}-{i}" if i in (7 + k % 20, 30 + k % 23) else w for i, w in enumerate(base))) for k in range(400)]
+    made = []
+    pairs = jaccard_join._pairs
+
+    def counted(met):
+        made.append(met.count())
+        return pairs(met)
+
+    monkeypatch.setattr(jaccard_join, "_pairs", counted)
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+    assert len({c for _, _, c in got}) == 400
+    assert sum(made) < 10 * len(rows)
+
+
+def test_parts_of_hot_tiles_lose_nothing(spark, monkeypatch):
+    from rillwork.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 10)
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_PART", 3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join([f"y{k}" if i == 3 * k else w for i, w in enumerate(base)])) for k in range(40)] + [(99, " ".join(base)), (98, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as parts", "2 as key", "3 as id")
+    assert sorted(tuple(r) for r in jaccard_components(docs, 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i * i % 7919}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text"), (4, long[: len(long) // 2])]
+    assert sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect()) == brute(rows, 4, 85)
+
+
 def test_empty_table_repeated_rows_and_null_ids(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")]
