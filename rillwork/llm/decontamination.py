@@ -34,6 +34,8 @@ from .scratch import Scratch
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
+#: Pairs of a place in a text and one in an item that are looked at together.
+PAIRS_AT_ONCE = 2 << 20
 #: Bytes of item texts in a block, on average.
 BLOCK_BYTES = 8 << 20
 
@@ -62,19 +64,39 @@ def block_of(ids: list[int | None], texts: list[bytes]) -> Block:
     return Block(ids, words, at, seeds[order], places[order])
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> int:
-    """How many words of the item greedy tiling covers, given the places (i, j) of shared seeds."""
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (np.diff(j - i) != 0) | (np.diff(i) != 1)
+class Runs(NamedTuple):
+    """Maximal runs of shared seeds: the text, the item, place in the item less place in the text, first place in the item, seeds."""
+
+    text: np.ndarray
+    item: np.ndarray
+    shift: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+
+    def at(self, where: np.ndarray | slice) -> Runs:
+        return Runs(*[x[where] for x in self])
+
+
+def joined_runs(parts: list[Runs]) -> Runs:
+    """All runs in order, those that continue each other as one."""
+    all_ = Runs(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+    all_ = all_.at(np.lexsort((all_.start, all_.shift, all_.item, all_.text)))
+    new = np.ones(len(all_.text), bool)
+    for x in all_[:3]:
+        new[1:] &= x[1:] == x[:-1]
+    new[1:] = ~(new[1:] & (all_.start[1:] == all_.start[:-1] + all_.length[:-1]))
     first = np.flatnonzero(new)
-    length = np.diff(first, append=len(i)) + MIN_MATCH - 1
-    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), i[first].tolist(), j[first].tolist(), strict=True)]
+    return all_.at(first)._replace(length=np.add.reduceat(all_.length, first) if len(first) else all_.length)
+
+
+def tiles(n_item: int, n_doc: int, runs: Runs) -> int:
+    """How many words of the item greedy tiling covers, given the runs of shared seeds of one text and one item."""
+    length = runs.length + MIN_MATCH - 1
+    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), runs.start.tolist(), (runs.start - runs.shift).tolist(), strict=True)]
     heapq.heapify(heap)
-    item_done, doc_done = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    item_done, doc_done = np.zeros(n_item, bool), np.zeros(n_doc, bool)
     covered = 0
-    while heap and covered < len(item):
+    while heap and covered < n_item:
         n, a, b = heapq.heappop(heap)
         n = -n
         taken = item_done[a : a + n] | doc_done[b : b + n]
@@ -89,6 +111,37 @@ def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> in
     return covered
 
 
+def shared_runs(seeds: np.ndarray, seed_at: np.ndarray, block: Block) -> Runs:
+    """The runs of seeds that texts share with items.
+
+    At most about PAIRS_AT_ONCE pairs of places are held at a time.  Once an item
+    is found whole in a text, its further runs there are left out: its coverage
+    is 1 already.  So a text and an item of one word repeated stay cheap.
+    """
+    none = np.zeros(0, np.int64)
+    runs, first, keys, places = Runs(*[none] * 5), 0, block.seeds, block.places
+    text_of, size = T.owner(seed_at), np.diff(block.at)
+    while first < len(seeds):
+        lo, hi = np.searchsorted(keys, seeds[first:], "left"), np.searchsorted(keys, seeds[first:], "right")
+        many = hi - lo
+        end = max(1, int(np.searchsorted(np.cumsum(many), PAIRS_AT_ONCE, "right")))
+        hit = np.flatnonzero(many[:end])
+        many = many[hit]
+        k = first + np.repeat(hit, many)
+        place = places[np.repeat(lo[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        item = np.searchsorted(block.at, place, "right") - 1
+        i, j = place - block.at[item], k - seed_at[text_of[k]]
+        runs = joined_runs([runs, Runs(text_of[k], item, i - j, i, np.ones(len(i), np.int64))])
+        first += end
+        if first < len(seeds) and text_of[first] == text_of[-1]:
+            # only one text is left
+            whole = np.unique(runs.item[(runs.text == text_of[-1]) & (runs.length + MIN_MATCH - 1 >= size[runs.item])])
+            if len(whole):
+                still = ~np.isin(np.searchsorted(block.at, places, "right") - 1, whole)
+                keys, places = keys[still], places[still]
+    return runs
+
+
 def coverages(texts: list[bytes], block: Block, threshold: float) -> Iterator[tuple[int, int | None, float]]:
     """(text, item id, coverage) of what reaches the threshold."""
     if not len(block.seeds):
@@ -97,26 +150,19 @@ def coverages(texts: list[bytes], block: Block, threshold: float) -> Iterator[tu
     for x, y in T.chunks(texts):
         words, at = tokens(texts[x:y])
         seeds, seed_at = T.grams(words, at, MIN_MATCH, whole=False)
-        lo, hi = np.searchsorted(block.seeds, seeds, "left"), np.searchsorted(block.seeds, seeds, "right")
-        hit = np.flatnonzero(hi > lo)
-        many = (hi - lo)[hit]
-        k = np.repeat(hit, many)
-        place = block.places[np.repeat(lo[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-        who = T.owner(seed_at)[k]
-        item = np.searchsorted(block.at, place, "right") - 1
-        order = np.lexsort((item, who))
-        who, item, place, k = who[order], item[order], place[order], k[order]
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(item) != 0), [True]])) if len(who) else np.zeros(1, int)
+        runs = shared_runs(seeds, seed_at, block)
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(runs.text) != 0) | (np.diff(runs.item) != 0), [True]])) if len(runs.text) else np.zeros(1, int)
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            d, q = int(who[s]), int(item[s])
-            i, j = place[s:e] - block.at[q], k[s:e] - seed_at[d]
-            # what the seeds cover, overlaps counted once, bounds the tiles from above
+            d, q = int(runs.text[s]), int(runs.item[s])
+            own = runs.at(slice(s, e))
+            # what the runs cover, overlaps counted once, bounds the tiles from above
             most = np.zeros(size[q] + 1, np.int64)
-            np.add.at(most, np.unique(i), 1)
-            np.add.at(most, np.minimum(np.unique(i) + MIN_MATCH, size[q]), -1)
+            np.add.at(most, own.start, 1)
+            np.add.at(most, own.start + own.length + MIN_MATCH - 1, -1)
             if (np.cumsum(most)[:-1] > 0).sum() < threshold * size[q]:
                 continue
-            share = tiles(block.words[block.at[q] : block.at[q + 1]], words[at[d] : at[d + 1]], i, j) / size[q]
+            whole = (own.length + MIN_MATCH - 1 >= size[q]).any()
+            share = 1.0 if whole else tiles(int(size[q]), int(at[d + 1] - at[d]), own) / size[q]
             if share >= threshold:
                 yield x + d, block.ids[q], float(share)
 

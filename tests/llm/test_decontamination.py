@@ -65,3 +65,17 @@ def test_rows_stay_rows_and_items_without_an_id_count(spark):
         assert sorted(((r["doc_id"], r["contaminated"], r["item_id"]) for r in got), key=str) == want
         assert all((r["coverage"] == 1.0) if r["contaminated"] else r["coverage"] is None for r in got)
         assert sorted(r["text"] or "" for r in without_benchmark(docs, bench, block_bytes=block_bytes).collect()) == ["", "clean", "clean"]
+
+
+def test_repetitive_texts_are_bounded_and_exact(spark, monkeypatch):
+    from rillwork.llm import decontamination as D
+
+    block = D.block_of([1, 2], [b"same " * 400, b"a b c d e f g h " * 3])
+    assert list(D.coverages([b"same " * 200_000], block, 0.5)) == [(0, 1, 1.0)]
+    rng = random.Random(5)
+    monkeypatch.setattr(D, "PAIRS_AT_ONCE", 7)
+    for _ in range(60):
+        item, doc = ([rng.choice("ab") for _ in range(n)] for n in (rng.randrange(6, 25), rng.randrange(5, 40)))
+        got = list(D.coverages([" ".join(doc).encode()], D.block_of([1], [" ".join(item).encode()]), 0.01))
+        want = plain(item, doc) / len(item)
+        assert (got[0][2] if got else 0.0) == want
