@@ -8,6 +8,10 @@ ranked pairs is done, and its surviving symbols are its tokens.  Merging all
 places at once equals merging them one by one, as a pair that arises from a
 merge always has a higher rank.
 
+Characters that the tokenizer's library normalises or classes otherwise than
+Python (it follows another Unicode version) are found once, on the driver; a
+text that holds one is split by the library's own pattern.
+
 Special strings inside texts are one token each, as the tokenizer's library
 has it by default.  Defined cases: a null text is empty and has no tokens;
 repeated rows count alike; an empty table gives an empty result.
@@ -19,6 +23,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,6 +39,7 @@ TOKEN_LIMIT = 2048
 REMEMBERED = 400_000
 
 _NONE = np.int64(1) << 40
+UNTRIED = 0x32000
 _LETTERS_1 = "a-zªµºß-öø-ÿ"
 _NUMBERS_1 = "0-9²³¹¼-¾"
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -62,6 +68,7 @@ def load_merges(path: str) -> dict:
     model = spec["model"]
     vocab, end = model["vocab"], model["end_of_word_suffix"]
     size = max(vocab.values()) + 1
+    pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], np.int64)
     order = np.argsort(keys)
@@ -72,16 +79,59 @@ def load_merges(path: str) -> dict:
         "keys": keys[order],
         "ranks": order.astype(np.int64),
         "made": np.array([vocab[a + b] for a, b in pairs], np.int64),
+        "pattern": pattern,
+        "odd": odd_characters(pattern),
         "special": [t["content"] for t in spec["added_tokens"]],
     }
 
 
+def _library_split(pattern: str):
+    """The library's own normaliser and split pattern, as the vocabulary file names them."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    clean = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+    return clean, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
+@lru_cache
+def odd_characters(pattern: str) -> str:
+    """A pattern class of the characters that the library takes otherwise than Python.
+
+    Unicode versions differ.  Every code point below UNTRIED is tried, by itself
+    and twice between two letters; those from there on, which no version assigns
+    or which aren't text, count as odd.
+    """
+    clean, split = _library_split(pattern)
+    own, odd = _split_all(), []
+    for lo in range(0, UNTRIED, 1 << 12):
+        chars = [chr(c) for c in range(lo, lo + (1 << 12)) if not 0xD800 <= c < 0xE000 and chr(c) != "|"]
+        theirs = clean.normalize_str("|".join(chars)).split("|")
+        ours = [_lowered(unicodedata.normalize("NFC", c)) for c in chars]
+        changed = {c for c, x, y in zip(chars, theirs, ours, strict=True) if x != y and y.strip(_SPACES)}
+        probes = [f"a{x[:1] * 2}a" for x in theirs]
+        begins = np.cumsum([0, *[len(p) + 1 for p in probes[:-1]]])
+        line = " ".join(probes)
+        found = [np.bincount(np.searchsorted(begins, np.array(at, np.int64), "right") - 1, minlength=len(probes)) for at in ([s for _, (s, _) in split.pre_tokenize_str(line)], [m.start() for m in own.finditer(line)])]
+        odd += [ord(c) for k, c in enumerate(chars) if c in changed or found[0][k] != found[1][k]]
+    odd = np.array([*odd, UNTRIED])
+    first = odd[np.diff(odd, prepend=-2) != 1]
+    last = [*odd[np.flatnonzero(np.diff(odd) != 1)].tolist(), 0x10FFFF]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last, strict=True)) + "]"
+
+
+def _lowered(text: str) -> str:
+    """Lower case letter by letter: a sigma at the end of a word is not a case of its own here."""
+    return text.replace("Σ", "σ").lower()
+
+
 class Merger:
     def __init__(self, model: dict):
         self.m = model
         self.known: dict[str, int] = {}
         self.special = re.compile("|".join(map(re.escape, model["special"]))) if model["special"] else None
         self.split_all = _split_all()
+        self.odd = re.compile(model["odd"])
+        self.clean, self.split = _library_split(model["pattern"])
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.m["size"] + right
@@ -130,9 +180,11 @@ class Merger:
         return out
 
     def pretokens(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        # letter by letter: a sigma at the end of a word is not a case of its own here
-        text = text.replace("Σ", "σ").lower()
+        if text.isascii():
+            return _SPLIT_1.findall(text.lower())
+        if self.odd.search(text):
+            return [w for w, _ in self.split.pre_tokenize_str(self.clean.normalize_str(text))]
+        text = _lowered(unicodedata.normalize("NFC", text))
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

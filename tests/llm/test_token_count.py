@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from rillwork.llm.token_count import count_tokens
+from rillwork.llm.token_count import Merger, count_tokens, load_merges
 
 ODD = [None, "", " \n\t", "<|startoftext|>a<|endoftext|>", "<|endoftext|", "A<|ENDOFTEXT|>b", "don't I'LL we've", "aaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 5000, "12345 ½ ² ٣", "ΣΑΣ İstanbul ẞ ǅ", "é é Å", "漢字かな \U0001f600\U0001f468‍\U0001f469", "  　​\u0085\x1c\x1f", "\x00\x01", "ﬁ ﷺ", "'s 'S ''re", "ͅẞΣ"]
 
@@ -27,5 +27,15 @@ def test_equals_library(spark):
     assert {repr(texts[k])[:80]: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
 
+def test_every_character_and_odd_sequences():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), Merger(load_merges(path))
+    rng = random.Random(2)
+    texts = [f"{c}a{c}{c}b{c}" for c in map(chr, range(1, 0x33000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts += ["".join(chr(rng.choice((rng.randrange(1, 0x300), rng.randrange(0x300, 0x2000), rng.randrange(0x2000, 0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(6)) for _ in range(10_000)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, n, m in zip(texts, own.counts(texts).tolist(), want, strict=True) if n != m] == []
+
+
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
