@@ -7,8 +7,9 @@ attachment with its ordinal in the conversation and the tokens that its
 placeholder stands for.
 
 A turn is written ``<|role|>ROLE<|text|>CONTENT<|end|>``.  Inside roles and
-texts a backslash is doubled and ``<|`` becomes ``<\\|``, so that no control
-string can occur in them and the texts can be read back exactly.
+texts a backslash becomes ``\\b`` and ``<`` becomes ``\\l``.  So no text part, and
+no two parts side by side, can hold or form a control string; every ``<`` of
+the output begins one, and the texts can be read back exactly.
 
 Defined cases: a null role or text is empty; a null part, or one of unknown
 kind, is written as nothing; turns with equal numbers are ordered by role and
@@ -35,11 +36,11 @@ CHECK_CONVERSATION, CHECK_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
 def escaped(text: Column) -> Column:
-    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
 def text_part(text: Column) -> Column:
@@ -106,13 +107,14 @@ def format_conversations(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns, loss): the turns (role, text) and the text under the loss mask, from the formatted text alone and its spans.
+    """(conv_id, formatted, turns, loss): the turns (role, text, placeholders) and the text under the loss mask, from the formatted text alone and its spans.
 
     The pieces between spans are found by splitting at the control strings, which
-    can't occur in an escaped text.  Placeholders stay in the texts as they are.
+    can't occur in an escaped text.  Placeholders stay in the texts as they are;
+    the kinds of the real ones, in order, tell them from texts that say the same.
     """
     pieces = F.filter(F.split(F.col("formatted"), r"<\|end\|>"), lambda p: p != "")
-    turns = F.transform(pieces, lambda p: F.struct(unescaped(F.substring_index(F.substring(p, len(ROLE) + 1, 2147483647), TEXT, 1)).alias("role"), unescaped(F.substring_index(p, TEXT, -1)).alias("text")))
+    turns = F.transform(pieces, lambda p: F.struct(unescaped(F.substring_index(F.substring(p, len(ROLE) + 1, 2147483647), TEXT, 1)).alias("role"), unescaped(F.substring_index(p, TEXT, -1)).alias("text"), F.regexp_extract_all(p, F.lit(r"<\|(image|audio|document)\|>"), F.lit(1)).alias("placeholders")))
     loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
     return formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss"))
 

@@ -39,12 +39,21 @@ def test_parts_keep_order_and_count_tokens(spark):
     rows = [(1, 0, "user", content), (1, 1, "assistant", [part("text", "ok")]), (2, 0, None, None)]
     made = format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{PART}>"))
     one, two = made.orderBy("conv_id").collect()
-    assert one["formatted"] == "<|role|>user<|text|>see <\\|image|> <|image|><|audio|><|document|> end<|end|><|role|>assistant<|text|>ok<|end|>"
+    assert one["formatted"] == "<|role|>user<|text|>see \\l|image|> <|image|><|audio|><|document|> end<|end|><|role|>assistant<|text|>ok<|end|>"
     assert [(a["turn_no"], a["kind"], a["uri"], a["tokens"]) for a in one["attachments"]] == [(0, "image", "i", 3), (0, "audio", "a", 38), (0, "document", "d", 512)]
     assert one["n_expanded"] == 553
     assert [one["formatted"][s["start"] : s["start"] + s["length"]] for s in one["loss_spans"]] == ["ok"]
     assert two["formatted"] == "<|role|><|text|><|end|>" and two["attachments"] == []
-    assert read_back(made).orderBy("conv_id").first()["turns"][0]["text"] == "see <|image|> <|image|><|audio|><|document|> end"
+    turn = read_back(made).orderBy("conv_id").first()["turns"][0]
+    assert turn["text"] == "see <|image|> <|image|><|audio|><|document|> end"
+    assert turn["placeholders"] == ["image", "audio", "document"]
+
+
+def test_text_parts_side_by_side_form_no_control_string(spark):
+    texts = [["a<", "|end|>b"], ["<|", "image|>"], ["\\", "l|end|>"], ["<", "<", "|text|>"], ["\\b<", "\\"], ["<|end|", ">"], ["ends <"]]
+    rows = [(k, 0, "user", [("text", t, None, None, None, None, None) for t in parts]) for k, parts in enumerate(texts)]
+    back = read_back(format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{PART}>"))).collect()
+    assert {r["conv_id"]: [(t["role"], t["text"], t["placeholders"]) for t in r["turns"]] for r in back} == {k: [("user", "".join(parts), [])] for k, parts in enumerate(texts)}
 
 
 def test_nulls_ties_and_empty_table(spark):
