@@ -5,8 +5,9 @@ memory; pass two puts each bucket in a seeded order by Fisher-Yates.  The
 buckets one after the other are a uniformly shuffled sequence, which is cut
 into shards whose counts differ by one at most (the law ``rows``).
 
-A rerun gives the same shards: a bucket's order starts from its sorted records,
-not from the order in which they arrive.  Defined cases: null columns are
+A rerun gives the same shards, on any cluster: buckets follow the bytes alone,
+and a bucket's order starts from its sorted records, not from the order in which
+they arrive.  Defined cases: null columns are
 values like others (a null text has size 1 and the checksum of an empty text);
 repeated rows are separate records; an empty table gives an empty result.
 """
@@ -22,6 +23,8 @@ from .scratch import Scratch
 
 N_SHARDS = 16
 BUCKET_BYTES = 32 << 20
+#: Buckets at least.  Their number must not depend on the cluster, or a rerun elsewhere would order records otherwise.
+LEAST_BUCKETS = 64
 #: Records of equal key are spread if they fill more than this part of a bucket.
 HOT_PART = 8
 SEED = 11
@@ -46,13 +49,12 @@ def external_shuffle(records: DataFrame, key: list[str], n_shards: int = N_SHARD
     is a record's size in SQL.  The number of buckets follows the bytes.  Records
     of equal key that would fill much of a bucket are spread copy by copy.
     """
-    spark = records.sparkSession
     columns = records.columns
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])
     placed = records.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), hashed.alias("place"))
     sizes = records.select(hashed.alias("place"), F.expr(record_bytes).alias("size")).groupBy("place").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     n_bytes, hot = sizes.agg(F.sum("size"), F.collect_list(F.when((F.col("n") > 1) & (F.col("size") > bucket_bytes // HOT_PART), F.col("place")))).first()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes or 0) // bucket_bytes))
+    n = max(LEAST_BUCKETS, -(-int(n_bytes or 0) // bucket_bytes))
     if hot:
         # equal records are counted, not gathered; each copy has a place of its own
         copies = placed.filter(F.col("place").isin(hot)).groupBy("place", "row").count().withColumn("copy", F.explode(F.expr("sequence(1L, count)")))

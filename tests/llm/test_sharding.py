@@ -75,3 +75,13 @@ def test_equal_records_are_spread(spark):
         seen = Counter(r["shard"] for r in got if r["doc_id"] == group)
         assert all(n / 8 < seen[k] < n / 2 for k in range(4)), seen
     assert set(got) == set(shard(docs.repartition(5)))
+
+
+def test_order_does_not_follow_the_shuffle_partitions(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('text ', id) as text")
+    seen = []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted(map(tuple, shard_documents(docs).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert seen[0] == seen[1]
