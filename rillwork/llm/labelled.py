@@ -15,7 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(label, text) of up to ``per_class`` ids of each label outside the held-out fold, chosen by hash.
 
     An id with conflicting labels takes the highest.  At most 2 * per_class ids
-    are chosen, so that side is broadcast; each comes with one of its texts.
+    are chosen, so that side is broadcast; each comes with one of its texts (the
+    least), however many rows have its id.
     """
     ids = labels.filter(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")]
@@ -23,4 +24,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for value in (0, 1):
         some = ids.filter(F.col("label") == value).orderBy(*order).limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -1,21 +1,23 @@
 """Tables that cut lineage, in the folder that all executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``.  Only where the
-session names none (local tests) a local folder is used.
+The folder is the one named by ``spark.checkpoint.dir``.  Only a local session
+that names none gets a folder of its own; a cluster must name one.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_DEFAULT = "/tmp/checkpoints"
-
-
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
 
 
 class Scratch:
@@ -31,12 +33,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, name: str, df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], object]]:
-        """A table in the warehouse with as many buckets by key as shuffles have partitions, and what drops it."""
-        table = f"scratch_{name}_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
-        return self.spark.table(table), lambda: self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

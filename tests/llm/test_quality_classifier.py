@@ -2,6 +2,7 @@
 
 import zlib
 
+from rillwork.llm.labelled import labelled_sample
 from rillwork.llm.quality_classifier import classify_quality
 
 
@@ -27,3 +28,10 @@ def test_nulls_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["score"] for r in classify_quality(docs, none).collect()] == [0.5] * 5
     assert classify_quality(docs.limit(0), none).count() == 0
+
+
+def test_the_sample_has_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(2, f"t{i}") for i in range(50)] + [(3, None), (5, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 0), (5, 0)], "doc_id long, quality int")
+    got = sorted((r["doc_id"], r["label"], r["text"]) for r in labelled_sample(docs, labels, "quality", 3, 9, 5).collect())
+    assert got == [(2, 1, "t0"), (3, 0, ""), (5, 0, "x")]
