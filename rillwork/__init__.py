@@ -1 +1 @@
-"""Rillwork: live-stream analytics, sequence repair and relational upkeep as Spark jobs."""
+"""Rillwork: live-stream analytics, sequence repair, task graphs and upkeep of the store as Spark jobs."""

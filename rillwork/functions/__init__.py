@@ -1 +1 @@
-"""See README."""
+"""Scalar functions on columns."""

@@ -28,7 +28,7 @@ def micros(ts: Column) -> Column:
 
 def bucket(us: Column, width_s: int) -> Column:
     """Start of the bucket in seconds, truncated toward zero."""
-    return (us / (1_000_000 * width_s)).cast("long") * width_s
+    return F.call_function("div", us, F.lit(1_000_000 * width_s)) * width_s
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -89,12 +89,6 @@ def gift_tally(msgs: DataFrame) -> DataFrame:
     return msgs.filter(is_gift()).groupBy("kind").agg(F.count("*").alias("gifts"), F.sum(weight()).alias("n"))
 
 
-def words(texts: DataFrame, *by: str) -> DataFrame:
-    """How often each lower-case ASCII-split word of two letters or more occurs."""
-    word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"))
-    return texts.select(*by, word.alias("word")).filter(F.length("word") >= 2).groupBy(*by, "word").agg(F.count("*").alias("n"))
-
-
 def unicode_words(texts: DataFrame, *by: str, extra_stop_words: tuple[str, ...] = ()) -> DataFrame:
     """How often each word of two characters or more occurs, in lower case, stop words left out.
 

@@ -23,6 +23,27 @@ def next_index(rows: DataFrame, key: str, index: str) -> DataFrame:
     return rows.groupBy(key).agg((F.coalesce(F.max(index), F.lit(-1)) + 1).cast("long").alias("next_index"))
 
 
-def first_set(*layers: Column) -> Column:
-    """The value of the innermost layer that sets one."""
-    return F.coalesce(*layers)
+def without_oldest(rows: DataFrame, order: list[Column], n: int, key: str) -> DataFrame:
+    """The rows left when a batch of the n first ones is deleted; n is a parameter, so the batch is small."""
+    batch = rows.orderBy(*order).limit(n).select(key)
+    return rows.join(batch, key, "left_anti")
+
+
+def keep_last_set(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """One row for each key with the last value of each column that isn't null: upserts that keep the old on null."""
+    return rows.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def replace_all(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """One row for each key, the last: upserts that replace every column, by null too."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("last"))
+    return last.select(key, *[F.col("last").getField(c).alias(c) for c in columns])
+
+
+def ingest(rows: DataFrame, key: str, order: str, value: str, finished: Column) -> DataFrame:
+    """(key, generation, refreshed, duplicates): sightings of a key after it is finished are duplicates; before, a changed value starts a generation."""
+    line = Window.partitionBy(key).orderBy(order)
+    seen = rows.select(key, order, F.col(value).alias("value"), F.coalesce(finished, F.lit(False)).alias("done"))
+    seen = seen.withColumn("was_done", F.coalesce(F.max("done").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    seen = seen.withColumn("changed", ~F.col("was_done") & (F.row_number().over(line) > 1) & ~F.col("value").eqNullSafe(F.lag("value").over(line)))
+    return seen.groupBy(key).agg(F.count_if("changed").alias("generation"), F.count_if(~F.col("was_done")).alias("refreshed"), F.count_if("was_done").alias("duplicates"))
