@@ -3,8 +3,13 @@
 The stages that filter keep every clean document; mixing repeats or leaves out
 documents so that sources meet their targets; sharding adds ``shard`` and
 ``slot``.  SQL can express neither compression lengths nor greedy tiling, so
-there is no oracle.  The rows of near_duplicates are compared with brute force;
-the other stages only through the tests of their operators.
+there is no oracle.  tests/llm/test_pipeline.py judges each stage on what the one
+before kept; near_duplicates is compared with brute force in test_jaccard_join.py.
+
+Defined cases: a null or empty text is neither toxic nor contaminated and links
+with nothing, so it stays; a null id is kept apart from all others; repeated
+rows of one id and text are one document to near_duplicates; columns beyond
+those of documents go through all stages; an empty table gives an empty result.
 """
 
 from __future__ import annotations

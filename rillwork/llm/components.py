@@ -16,6 +16,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     step is written, so that a lost executor costs one step only.
     """
     edges = scratch.put(f"{name}-0", links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     before, k = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -78,5 +78,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Escapes as chat_format does, and counts the control strings around each turn.
+_CHAT_SQL = r"""
+with m as (select cast(conv_id as bigint) conv_id, cast(turn as bigint) turn, coalesce(role, '') as "role", coalesce(text, '') as "text" from conversations
+           union all select -7, t, case t when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from generate_series(0, 1) g(t)),
+     e as (select *, replace(replace("text", '\', '\b'), '<', '\l') body, replace(replace("role", '\', '\b'), '<', '\l') head from m)
+select conv_id, count(*) n_turns, sha256(string_agg("role" || chr(10) || "text" || chr(10), '' order by turn nulls first, "role", body)) turns_sha256,
+       cast(sum(case when "role" = 'assistant' then length("text") else 0 end) as bigint) loss_chars,
+       sha256(coalesce(string_agg(case when "role" = 'assistant' then "text" end, '' order by turn nulls first, "role", body), '')) loss_sha256,
+       cast(sum(length(head) + length(body) + length('<|role|><|text|><|end|>')) as bigint) formatted_chars
+from e group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": _CHAT_SQL}
