@@ -85,3 +85,30 @@ def placeholder_names(customer: DataFrame) -> DataFrame:
 @query("events", None)
 def uid_crc32(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.crc32(F.col("user_id").cast("string").cast("binary")).alias("crc"))
+
+
+@query("events", "select event_id, unnest(json_keys(props)) as part, props->>'$.k' as content from events")
+def json_each(events: DataFrame) -> DataFrame:
+    pairs = F.explode(F.from_json("props", "map<string,string>")).alias("part", "content")
+    return events.select("event_id", pairs)
+
+
+@query("events", """select event_id, case when user_id % 3 = 0 then 0 else cast(props->>'$.k' as bigint) end parsed from events""")
+def json_or_default(events: DataFrame) -> DataFrame:
+    broken = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("{oops"), "props")).otherwise(F.col("props"))
+    return events.select("event_id", F.coalesce(F.from_json(broken, "k long")["k"], F.lit(0)).alias("parsed"))
+
+
+@query("events", "select event_id, case when event_type = 'view' then 'live' when event_type = 'error' then 'broken' else 'idle' end state, case when event_type in ('error') then 'high' else 'low' end severity from events")
+def enum_maps(events: DataFrame) -> DataFrame:
+    named = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    state, severity = named({"view": "live", "error": "broken"}), named({"error": "high"})
+    return events.select("event_id", F.coalesce(state[F.col("event_type")], F.lit("idle")).alias("state"), F.coalesce(severity[F.col("event_type")], F.lit("low")).alias("severity"))
+
+
+@query("events", "select event_id, case when user_id % 2 = 0 then props->>'$.k' else '7' end k, case when user_id % 2 = 0 then 'base' else 'own' end origin from events")
+def json_layers(events: DataFrame) -> DataFrame:
+    base = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("origin"), F.lit("base")))
+    own = F.when(F.col("user_id") % 2 == 1, F.create_map(F.lit("k"), F.lit("7"), F.lit("origin"), F.lit("own"))).otherwise(F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)
+    return events.select("event_id", merged["k"].alias("k"), merged["origin"].alias("origin"))
