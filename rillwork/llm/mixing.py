@@ -4,8 +4,15 @@ DataFrame operations only.  Sizes are words.  Each source has a target share
 of all words; equal blocks of words are given to the sources one by one, each
 to the source with the highest quotient target / (2 * blocks so far + 1).  A
 block is at most 1 / BLOCKS_PER_TARGET of the smallest target (one word at
-least), so a small source is served in a corpus of any size.  The documents of a source stand on a line in seeded order; the blocks that it
-gets are a run of that line from a seeded block on, going round at the end.
+least), so a small source is served in a corpus of any size.  The documents of
+a source stand on a line in seeded order, which is cut into blocks.  Its quotas
+say how many blocks each shard gets; they are selected evenly along the line
+from a seeded offset on, and each shard's blocks follow those of the shard
+before.  A source that gets more blocks than it has gets them repeatedly.
+
+A source's last block may be short, so its taken words depart from its target
+by at most about MOST_REPEATS blocks.  One row for each source passes through
+one task; documents never do.
 
 Defined cases: a null text has size 0 and gives nothing; a null source is a
 source of its own, last in order; repeated rows are separate documents; an
@@ -18,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .text import SPACE_PATTERN
 
 #: Weights of the sources in order of their names, repeating.
@@ -27,7 +35,7 @@ MOST_REPEATS = 3
 N_SHARDS = 16
 BLOCKS_PER_SHARD = 1024
 #: Blocks that the smallest target is worth at least, unless blocks are one word.
-BLOCKS_PER_TARGET = 64
+BLOCKS_PER_TARGET = 256
 SEED = 7
 #: The line of a source is laid out in so many parts, so that a source of any size is spread.
 LINE_PARTS = 4096
@@ -65,7 +73,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
 
 
 def shard_quotas(targets: DataFrame, n_shards: int = N_SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, blocks_per_target: int = 0) -> DataFrame:
-    """(source, rank, source_size, target, block, shard, blocks): integer blocks of each source in each shard.
+    """(source, rank, source_size, target, block, shard, blocks, upto): integer blocks of each source in each shard, and up to its end.
 
     With ``blocks_per_target`` blocks are no larger than that part of the smallest positive target.
 
@@ -99,45 +107,57 @@ def shard_quotas(targets: DataFrame, n_shards: int = N_SHARDS, blocks_per_shard:
     )
     upto = ranked.groupBy("rank", "shard").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("block").alias("block"), (F.first("low") + F.sum("won")).alias("upto"))
     earlier = F.coalesce(F.lag("upto").over(Window.partitionBy("rank").orderBy("shard")), F.lit(0).cast("long"))
-    return upto.withColumn("blocks", F.col("upto") - earlier).select("source", "rank", "source_size", "target", "block", "shard", "blocks")
+    return upto.withColumn("blocks", F.col("upto") - earlier).select("source", "rank", "source_size", "target", "block", "shard", "blocks", "upto")
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_shards: int = N_SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED, keep: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each document; with ``keep`` also ``row``, all its columns.
+    """(doc_id, size, source_size, target, taken, first_shard, last_shard) for each document; with ``keep`` also ``row``, all its columns.
 
-    The run of a source starts at a seeded block and is as long as its blocks
-    together, at most MOST_REPEATS times the line; a document gives the words
-    of it that the run covers, once for each round.
+    A document gives the words of it that lie in selected blocks, once for each
+    time that a block is selected.  Its blocks go to the shards from
+    ``first_shard`` to ``last_shard``; both are null if it gives nothing.
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"), *row)
-    targets = source_targets(sized.select("source", "size"), weights)
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.pmod(key, F.lit(LINE_PARTS)).alias("part"), *row)
+    parts = Scratch(docs.sparkSession, "mixing").put("parts", sized.groupBy("source", "part").agg(F.sum("size").alias("size")))
     runs = (
-        shard_quotas(targets, n_shards, blocks_per_shard, BLOCKS_PER_TARGET)
+        shard_quotas(source_targets(parts.select("source", "size"), weights), n_shards, blocks_per_shard, BLOCKS_PER_TARGET)
         .groupBy("rank", "source", "source_size", "target", "block")
-        .agg(F.sum("blocks").alias("blocks"))
-        .withColumn("length", F.least(F.col("blocks") * F.col("block"), F.col("source_size") * MOST_REPEATS))
+        .agg(F.array_sort(F.collect_list("upto")).alias("ends"))
         .withColumn("n_blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / F.col("block"))))
-        .withColumn("start", F.pmod(F.xxhash64(F.lit(seed), F.col("rank")), F.col("n_blocks")) * F.col("block"))
-        .select(F.col("source").alias("run_source"), "rank", "source_size", "target", "length", "start")
-    )
-    placed = sized.join(runs, F.col("source").eqNullSafe(F.col("run_source")), "left").withColumn("part", F.pmod("key", F.lit(LINE_PARTS)))
-    parts = sized.withColumn("part", F.pmod("key", F.lit(LINE_PARTS))).groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    parts = parts.join(runs.select("run_source", F.col("rank").alias("part_rank")), F.col("source").eqNullSafe(F.col("run_source"))).select(
-        "part_rank", F.col("part").alias("of_part"), (F.sum("part_size").over(Window.partitionBy("part_rank").orderBy("part")) - F.col("part_size")).alias("part_start")
+        .withColumn("quota", F.least(F.element_at("ends", -1), F.col("n_blocks") * MOST_REPEATS))
+        .withColumn("ratio", F.col("quota") / F.col("n_blocks"))
+        .withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), F.col("rank")), F.lit(1024)) / 1024)
+        .withColumnRenamed("source", "run_source")
     )
+    same = F.col("source").eqNullSafe(F.col("run_source"))
+    before = F.sum("size").over(Window.partitionBy("rank").orderBy("part")) - F.col("size")
+    parts = parts.join(runs.select("run_source", "rank"), same).select(F.col("rank").alias("part_rank"), F.col("part").alias("of_part"), before.alias("part_start"))
     inside = Window.partitionBy("rank", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    line = placed.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(parts, (F.col("rank") == F.col("part_rank")) & (F.col("part") == F.col("of_part")), "left").withColumn("at", F.col("part_start") + F.col("inside"))
-    # The run [start, start + length) of a line repeated again and again meets [at, at + size) of each round.
-    whole = F.expr("case when source_size > 0 then length div source_size else 0 end")
-    rest = F.expr("case when source_size > 0 then length % source_size else 0 end")
+    line = sized.join(runs, same, "left").withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+    line = line.join(parts, (F.col("rank") == F.col("part_rank")) & (F.col("part") == F.col("of_part")), "left").withColumn("at", F.col("part_start") + F.col("inside"))
+
+    def seats(block: Column) -> Column:
+        """How often the blocks before this one are selected, all together."""
+        return F.when(block >= F.col("n_blocks"), F.col("quota")).otherwise(F.floor(block * F.col("ratio") + F.col("offset")))
+
+    def words(place: Column) -> Column:
+        """How many words before this place of the line are taken."""
+        block = _div(place, F.col("block"))
+        return seats(block) * F.col("block") + (place - block * F.col("block")) * (seats(block + 1) - seats(block))
 
-    def meet(low: Column, high: Column) -> Column:
-        return F.greatest(F.lit(0).cast("long"), F.least(F.col("at") + F.col("size"), high) - F.greatest(F.col("at"), low))
+    def shard(seat: Column) -> Column:
+        return F.when(F.col("taken") > 0, F.size(F.filter("ends", lambda end: end <= seat)))
 
-    line = line.withColumn("rest_end", F.col("start") + rest)
-    taken = whole * F.col("size") + meet(F.col("start"), F.least(F.col("rest_end"), F.col("source_size"))) + meet(F.lit(0).cast("long"), F.col("rest_end") - F.col("source_size"))
-    return line.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if keep else []))
+    end = F.col("at") + F.col("size")
+    line = line.withColumn("taken", F.least(words(end) - words(F.col("at")), F.col("size") * MOST_REPEATS))
+    line = line.withColumn("first_shard", shard(seats(_div(F.col("at"), F.col("block"))))).withColumn("last_shard", shard(seats(_div(end - 1, F.col("block")) + 1) - 1))
+    return line.select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard", *(["row"] if keep else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

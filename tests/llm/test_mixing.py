@@ -85,3 +85,21 @@ def test_small_sources_are_served_beside_a_large_one(spark):
         assert abs(taken[s] - target) <= 0.05 * target + 1, s
     times = Counter(r["doc_id"] for r in mixed_documents(frame).collect())
     assert {times[d[0]] for d in docs if d[1] != "big"} == {3}
+
+
+def test_each_shard_gets_its_quota(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (1 + i % 7), 1, "x") for i in range(3000)], SCHEMA)
+    source, rows = {r["doc_id"]: r["source"] for r in docs.collect()}, mix(docs, n_shards=4, blocks_per_shard=256).collect()
+    sized = spark.createDataFrame([(source[r["doc_id"]], r["size"]) for r in rows], "source string, size long")
+    quotas = shard_quotas(source_targets(sized), 4, 256, 256).collect()
+    inside, over = Counter(), Counter()
+    for r in rows:
+        assert (r["first_shard"] is None) == (r["taken"] == 0)
+        if r["taken"]:
+            for shard in {r["first_shard"], r["last_shard"]}:
+                over[source[r["doc_id"]], shard] += r["taken"]
+            if r["first_shard"] == r["last_shard"]:
+                inside[source[r["doc_id"]], r["first_shard"]] += r["taken"]
+    for q in quotas:
+        at = q["source"], q["shard"]
+        assert inside[at] - 3 * q["block"] <= q["blocks"] * q["block"] <= over[at] + 3 * q["block"], at
