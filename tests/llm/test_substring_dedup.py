@@ -34,3 +34,16 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_ids_repeated_rows_long_texts_and_clashing_columns(spark):
+    line = "the same line of more than fifty bytes stands in both texts here"
+    long = "".join(f"{i * 7919 % 100_003:06d} " for i in range(40_000))
+    rows = [(1, line + " one"), (2, "two " + line), (2, "two " + line), (3, long), (4, long[100_000:160_000]), (5, "é" * 30 + line)]
+    got = remove_repeats(spark.createDataFrame([(i, t, "x", 0, b"") for i, t in [*rows, (None, "null " + line)]], "doc_id long, text string, stretch string, n_bytes int, kept binary"))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    found = [tuple(r)[:5] for r in got.collect()]
+    assert sorted(r for r in found if r[0] is not None) == brute(rows)
+    # a null id is larger than any other
+    (last,) = [r for r in found if r[0] is None]
+    assert last[1:] == brute([*rows, (10**9, "null " + line)])[-1][1:]
