@@ -127,3 +127,10 @@ def ranked_candidates(rows: DataFrame, key: str, barred: Column, fits: Column, o
 def worst(*levels: Column) -> Column:
     """The greatest of ranked levels; null ones don't count."""
     return F.greatest(*levels)
+
+
+def variant_choice(variants: DataFrame, playlist: str, number: str, bandwidth: str, target: int) -> DataFrame:
+    """(playlist, highest, lowest, closest): the numbers of the variants to choose; of equal ones the lowest number, null bandwidths never."""
+    rate = F.col(bandwidth)
+    least = lambda by: F.min(F.when(rate.isNotNull(), F.struct(by, F.col(number))))[number]
+    return variants.groupBy(playlist).agg(least((-rate).alias("by")).alias("highest"), least(rate.alias("by")).alias("lowest"), least(F.abs(rate - target).alias("by")).alias("closest"))

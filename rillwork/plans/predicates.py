@@ -73,3 +73,9 @@ def candidate_rank(lineitem: DataFrame) -> DataFrame:
 def candidate_fallback(lineitem: DataFrame) -> DataFrame:
     found = _candidates(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))
     return found.filter("place = 1 and l_quantity < 20").select("l_orderkey", "l_linenumber", "place")
+
+
+@query("lineitem", "select l_orderkey, arg_min(n, (-b, n)) highest, arg_min(n, (b, n)) lowest, arg_min(n, (abs(b - 50000), n)) closest from (select l_orderkey, l_linenumber n, cast(l_extendedprice as bigint) // 1000 * 1000 b from lineitem) group by 1")
+def hls_variant_choice(lineitem: DataFrame) -> DataFrame:
+    rate = F.expr("cast(round(l_extendedprice) as bigint) div 1000 * 1000")
+    return filters.variant_choice(lineitem.select("l_orderkey", "l_linenumber", rate.alias("rate")), "l_orderkey", "l_linenumber", "rate", 50_000)
