@@ -14,6 +14,7 @@ from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .sharding import shard_manifest
 from .substring_dedup import remove_repeats
+from .token_alignment import align
 from .token_count import count_tokens
 from .toxicity import classify_toxicity
 
@@ -62,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substring_dedup,
         op9_mixing,
         op10_toxicity,
+        op11_token_alignment,
     )
     return {f.__name__: f for f in found}
 
