@@ -17,6 +17,7 @@ from .substring_dedup import remove_repeats
 from .token_alignment import align
 from .token_count import count_tokens
 from .toxicity import classify_toxicity
+from .warc import archive_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_toxicity,
         op11_token_alignment,
+        op13_warc,
     )
     return {f.__name__: f for f in found}
 
@@ -96,5 +102,14 @@ select conv_id, count(*) n_turns, sha256(string_agg("role" || chr(10) || "text"
 from e group by conv_id"""
 
 
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) payload_bytes from pages),
+     r as (select *, min(page_id) over (partition by html) first from p)
+select page_id, cast(payload_bytes as bigint) payload_bytes, sha256(html) payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end refers_to
+from r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _CHAT_SQL}
+    return {"op4_chat_formatting": _CHAT_SQL, "op13_warc": _WARC_SQL}
