@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_digests
 from .decontamination import decontaminate
+from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .quality_classifier import classify_quality
@@ -68,6 +69,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(_table(spark, sf_dir, "pages"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_toxicity,
         op11_token_alignment,
+        op12_hard_negatives,
         op13_warc,
     )
     return {f.__name__: f for f in found}
@@ -102,6 +108,15 @@ select conv_id, count(*) n_turns, sha256(string_agg("role" || chr(10) || "text"
 from e group by conv_id"""
 
 
+_NEGATIVES_SQL = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+           from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select a.vec_id anchor_id, a.lab alab, b.vec_id id, b.lab blab, cast(list_inner_product(a.v, b.v) as bigint) score from r a, r b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+     p as (select anchor_id, alab, id positive_id, score positive_score from s where alab = blab qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+     n as (select p.anchor_id, positive_id, positive_score, s.id negative_id, s.score negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) k
+           from p join s on s.anchor_id = p.anchor_id and s.blab <> p.alab and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, cast(k as int) as "rank", negative_id, positive_score, negative_score from n where k <= 5"""
+
 _WARC_SQL = """
 with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) payload_bytes from pages),
      r as (select *, min(page_id) over (partition by html) first from p)
@@ -112,4 +127,4 @@ from r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _CHAT_SQL, "op13_warc": _WARC_SQL}
+    return {"op4_chat_formatting": _CHAT_SQL, "op12_hard_negatives": _NEGATIVES_SQL, "op13_warc": _WARC_SQL}
