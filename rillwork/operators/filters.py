@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import free
+
 DAYS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
 
 
@@ -118,10 +120,12 @@ def ranked_candidates(rows: DataFrame, key: str, barred: Column, fits: Column, o
     """The candidates of each key in order, with ``place`` from 1 on.
 
     Barred ones are out.  Those that don't fit are out too, unless none of the key fits.
+    If the rows have a column ``place``, the new one is ``place_``.
     """
-    left = rows.filter(~F.coalesce(barred, F.lit(False))).withColumn("fits", F.coalesce(fits, F.lit(False)))
-    left = left.withColumn("some", F.max("fits").over(Window.partitionBy(key))).filter("fits or not some").drop("fits", "some")
-    return left.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    fit, some = free("fits", rows), free("some", rows)
+    left = rows.filter(~F.coalesce(barred, F.lit(False))).withColumn(fit, F.coalesce(fits, F.lit(False)))
+    left = left.withColumn(some, F.max(fit).over(Window.partitionBy(key))).filter(F.col(fit) | ~F.col(some)).drop(fit, some)
+    return left.withColumn(free("place", rows), F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
 
 
 def worst(*levels: Column) -> Column:

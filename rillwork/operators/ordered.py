@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 def sessions(rows: DataFrame, key: str, at: str, order: str, quiet: int) -> DataFrame:
     """Adds ``session``: it rises where more than ``quiet`` passed since the key's row before.
 
-    A null time starts none; a null key is a key of its own.  A column named
-    ``session`` is replaced.
+    A null time starts none; a null key is a key of its own.  If the rows have a
+    column ``session``, the new one is ``session_``.
     """
     line = Window.partitionBy(key).orderBy(at, order)
     starts = F.coalesce((F.col(at) - F.lag(at).over(line) > quiet).cast("long"), F.lit(0))
-    mark = _free("starts", rows)
-    return rows.withColumn(mark, starts).withColumn("session", F.sum(mark).over(line.rowsBetween(Window.unboundedPreceding, 0))).drop(mark)
+    mark = free("starts", rows)
+    return rows.withColumn(mark, starts).withColumn(free("session", rows), F.sum(mark).over(line.rowsBetween(Window.unboundedPreceding, 0))).drop(mark)
 
 
-def _free(name: str, rows: DataFrame) -> str:
-    """A column name that the rows don't have."""
+def free(name: str, rows: DataFrame) -> str:
+    """A column name that the rows don't have: this one, or with underscores behind it."""
     taken = {c.lower() for c in rows.columns}
     while name.lower() in taken:
         name += "_"
@@ -29,7 +29,7 @@ def _free(name: str, rows: DataFrame) -> str:
 def without_repeats(rows: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
     """Rows whose value differs from that of the key's row before; nulls are equal, and the first row stays."""
     line = Window.partitionBy(key).orderBy(*order)
-    mark = _free("changed", rows)
+    mark = free("changed", rows)
     changed = (F.row_number().over(line) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(line))
     return rows.withColumn(mark, changed).filter(F.col(mark)).drop(mark)
 

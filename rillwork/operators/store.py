@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import free
+
 
 def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(size)
@@ -15,8 +17,9 @@ def status_pivot(rows: DataFrame, status: str, values: tuple[str, ...]) -> DataF
 
 
 def keep_newest(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    """The k first rows of each key; the window is cut to k rows before the shuffle."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= k)
+    """The k first rows of each key, with ``place`` (``place_`` if the rows have that); the window is cut to k rows before the shuffle."""
+    place = free("place", rows)
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(place) <= k)
 
 
 def next_index(rows: DataFrame, key: str, index: str) -> DataFrame:

@@ -76,18 +76,24 @@ def offline_signals(events: DataFrame) -> DataFrame:
     return rolling.offline_signals(_checks(events).withColumn("failed", F.col("event_type") == "error"), "user_id", "us", "event_id", "failed", 172_800_000_000, 2)
 
 
-@query("events", "with r as (select epoch_us(ts) // 10000000 b from events), n as (select max(b) - min(b) + 1 n from r), w as (select 10 * (select cast(2 ** min(k) as bigint) from generate_series(0, 40) g(k) where ceil(n / 2 ** k) <= greatest(60, 21600 // (10 * 2 ** k))) w from n) select b * 10 // (select w from w) * (select w from w) as bucket_s, count(*) n from r group by 1")
+@query(
+    "events",
+    "with r as (select epoch_us(ts) // 10000000 b, count(*) n from events group by 1), p as (select k, count(distinct b // cast(2 ** k as bigint)) points from r, generate_series(0, 40) g(k) group by 1), "
+    "w as (select cast(2 ** min(k) as bigint) w from p where points - 1 <= 2160) select b // w * w * 10 bucket_s, cast(sum(n) as bigint) n from r, w group by 1",
+)
 def chat_rate_coarsened(events: DataFrame) -> DataFrame:
-    msgs = chat.messages(events)
-    low, high = msgs.agg(F.min(chat.bucket(F.col("us"), 10)), F.max(chat.bucket(F.col("us"), 10))).first()
-    width = rolling.coarsened_width((high - low) // 10 + 1, 10) if low is not None else 10
-    return chat.rate(msgs, width)
+    return rolling.coarsened_rate(chat.messages(events), "us", 10).select("bucket_s", "n")
 
 
-@query("events", "select event_id, cast(greatest((3 * coalesce(lag(cast(props->>'$.k' as bigint)) over (partition by user_id order by event_id), cast(props->>'$.k' as bigint)) + cast(props->>'$.k' as bigint)) // 4, 1) as bigint) estimate from events")
+@query(
+    "events",
+    "with recursive e as (select event_id, user_id, case when event_type = 'error' then 0 else cast(props->>'$.k' as bigint) end s, row_number() over (partition by user_id order by event_id) i from events), "
+    "w as (select event_id, user_id, i, case when coalesce(s, 0) = 0 then 100 else greatest((300 + s) // 4, 1) end estimate from e where i = 1 "
+    "union all select e.event_id, e.user_id, e.i, case when coalesce(e.s, 0) = 0 then w.estimate else greatest((3 * w.estimate + e.s) // 4, 1) end from w join e on e.user_id = w.user_id and e.i = w.i + 1) select event_id, cast(estimate as bigint) estimate from w",
+)
 def size_estimate(events: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("k").over(Window.partitionBy("user_id").orderBy("event_id")), F.col("k"))
-    return _checks(events).withColumn("before", before).select("event_id", F.greatest(F.expr("(3 * before + k) div 4"), F.lit(1)).cast("long").alias("estimate"))
+    sizes = _checks(events).withColumn("size", F.when(F.col("event_type") == "error", 0).otherwise(F.col("k")).cast("long"))
+    return rolling.size_estimates(sizes, "user_id", "event_id", "size", 100).select("event_id", "estimate")
 
 
 @query("events", "select event_id, case when event_type = 'error' and n > 3 then 'terminal' when event_type in ('error', 'click') then 'retry' else 'done' end verdict from (select *, row_number() over (partition by user_id, event_type order by event_id) n from events)")

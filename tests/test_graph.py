@@ -11,15 +11,27 @@ def test_problems_and_levels(spark):
     rows = [(1, 1, [], "COMPLETED", ["a"]), (1, 2, [1], "PENDING", ["b"]), (1, 3, [2, 1], "PENDING", ["a"]), (2, 1, [2], "PENDING", []), (2, 2, [1], "PENDING", [])]
     rows += [(3, 1, None, "FAILED", ["x"]), (3, 2, [9], "PENDING", ["y"]), (4, 1, [], "COMPLETED", []), (4, 1, [], "COMPLETED", []), (5, 1, [], "PENDING", None), (5, 2, [3, 1], "PENDING", []), (5, 3, [2], "PENDING", [])]
     steps = spark.createDataFrame(rows, SCHEMA)
-    got = sorted((r["dag"], r["problem"]) for r in graph.problems(steps, 8).collect())
-    assert got == [(2, "cycle"), (2, "no root"), (3, "cycle"), (3, "missing"), (4, "duplicate"), (5, "cycle")] or got == [(2, "cycle"), (2, "no root"), (3, "missing"), (4, "duplicate"), (5, "cycle")]
-    assert {(r["dag"], r["step"]): r["level"] for r in graph.levels(steps, 8).collect() if r["dag"] == 1} == {(1, 1): 0, (1, 2): 1, (1, 3): 2}
+    dags = spark.createDataFrame([(d,) for d in range(1, 7)], "dag long")
+    for at_once in (100_000, 0):
+        got = sorted((r["dag"], r["problem"]) for r in graph.problems(steps, dags, at_once).collect())
+        assert got == [(2, "cycle"), (2, "no root"), (3, "missing"), (4, "duplicate"), (5, "cycle"), (6, "empty")]
+        assert {(r["dag"], r["step"]): r["level"] for r in graph.levels(steps, at_once).collect()} == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (3, 1): 0, (3, 2): 0, (4, 1): 0, (5, 1): 0}
     assert sorted((r["dag"], r["step"]) for r in graph.ready(steps).collect()) == [(1, 2), (5, 1)]
     assert {(r["dag"], r["step"]): r["inputs"] for r in graph.fan_in(steps).collect() if r["dag"] == 1} == {(1, 2): ["a"], (1, 3): ["b", "a"]}
     assert {r["dag"]: r["status"] for r in graph.completion(steps).collect()} == {1: "PROCESSING", 2: "PROCESSING", 3: "PROCESSING", 4: "COMPLETED", 5: "PROCESSING"}
     assert graph.levels(steps.limit(0)).count() == 0
 
 
+def test_a_long_chain_has_all_its_levels(spark):
+    """No depth is too deep, in one task or level by level; a diamond takes the longest way."""
+    chain = [(1, k, [k - 1] if k else [], "PENDING", []) for k in range(200)]
+    steps = spark.createDataFrame(chain, SCHEMA).selectExpr("*", "1 as level", "2 as n")
+    assert {r["step"]: r["level"] for r in graph.levels(steps).collect()} == {k: k for k in range(200)}
+    assert graph.problems(steps).count() == 0
+    short = spark.createDataFrame([(2, k, [k - 1] if k else [], "PENDING", []) for k in range(9)] + [(2, 9, [0, 8], "PENDING", [])], SCHEMA)
+    assert {r["step"]: r["level"] for r in graph.levels(short, 3).collect()} == {k: k for k in range(10)}
+
+
 def test_walks_by_key(spark):
     rng = random.Random(4)
     rows = [(k, n, rng.randrange(1, 60), rng.random() < 0.6) for k in range(5) for n in range(40)]

@@ -8,8 +8,6 @@ import pytest
 from rillwork.plans.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.01"
-#: Well-formed graphs have no problems; test_graph.py has others.
-NO_ROWS = {"dag_validate"}
 
 
 @pytest.fixture(scope="session")
@@ -29,4 +27,4 @@ def test_equals_sql(spark, duck, name):
     key = lambda row: [(v is not None, str(v)) for v in row]
     rows = sorted((tuple(r[n] for n in names) for r in got.collect()), key=key)
     assert rows == sorted(want.select(*[f'"{n}"' for n in names]).fetchall(), key=key)
-    assert rows or name in NO_ROWS
+    assert rows
