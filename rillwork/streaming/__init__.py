@@ -10,10 +10,12 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from rillwork.operators.machines import Machine, woken
+from rillwork.operators.ordered import free
 from rillwork.shared import shared_folder
 
 
@@ -119,13 +121,14 @@ class _Keyed(StatefulProcessor):
         self._keep(state, None, min([x[0] for x in left] + ([] if due is None else [due]), default=None))
 
 
-def machine_stream(rows: DataFrame, key: str, at: str, order: list[str], machine: Machine, event_time: str, delay: str) -> DataFrame:
-    """(key, what the machine gives) for a stream; ``at`` has the microseconds of ``event_time``.
+def machine_stream(rows: DataFrame, key: str, at: str, order: list[str], machine: Machine, delay: str) -> DataFrame:
+    """(key, what the machine gives) for a stream; ``at`` has the rows' times in microseconds.
 
     Rows may come up to ``delay`` out of order; those that the watermark has passed in a batch before are dropped.  What is not yet passed by it
     is held, so the result is that of ``walked`` up to the last watermark.
     """
     kinds = dict(rows.dtypes)
     schema = StructType.fromDDL(", ".join([f"`{key}` {kinds[key]}", *(f"`{c}` {k}" for c, k in machine.out.items())]))
-    needed = list(dict.fromkeys([key, event_time, at, *order, *machine.reads]))
-    return rows.select(*needed).withWatermark(event_time, delay).groupBy(key).transformWithState(_Keyed(machine, key, at, order), schema, "Append", "EventTime")
+    needed = rows.select(*dict.fromkeys([key, at, *order, *machine.reads]))
+    time = free("time", needed)
+    return needed.withColumn(time, F.timestamp_micros(at)).withWatermark(time, delay).groupBy(key).transformWithState(_Keyed(machine, key, at, order), schema, "Append", "EventTime")

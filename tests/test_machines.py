@@ -27,7 +27,7 @@ def in_files(spark, rows, schema, parts, root, first=0):
 
 def stream(spark, schema, root):
     source = spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    return source.drop("part").withColumn("ts", F.timestamp_micros("at"))
+    return source.drop("part")
 
 
 SESSION = "k long, n long, at long, ends boolean, definite boolean"
@@ -84,12 +84,12 @@ def test_sessions_in_a_table_and_as_a_stream_with_a_restart(spark):
     parts = [mixed[i : i + 60] for i in range(0, len(mixed), 60)]
     root = shared_folder(spark, "sessions-test")
     in_files(spark, rows, SESSION, parts[:3], root)
-    once = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], machine, "ts", "100 seconds")
+    once = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], machine, "100 seconds")
     first = rows_of(run_to_end(once, "append", root))
     assert 0 < len(first) < len(want)
     # the rest comes after a restart
     in_files(spark, rows, SESSION, parts[3:], root, 3)
-    again = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], machine, "ts", "100 seconds")
+    again = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], machine, "100 seconds")
     assert rows_of(run_to_end(again, "append", root)) == want
 
 
@@ -99,12 +99,12 @@ def test_a_late_row_is_dropped_and_an_empty_stream_is_empty(spark):
     late = [(1, 3, 10**12 + 20 * SECOND, False, False), (2, 4, 10**12 + 900 * SECOND, False, False)]
     root = shared_folder(spark, "late-test")
     in_files(spark, [], SESSION, [live, later, more, late], root)
-    got = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], M.Sessions("at", "ends", "definite"), "ts", "10 seconds")
+    got = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], M.Sessions("at", "ends", "definite"), "10 seconds")
     found = rows_of(run_to_end(got, "append", root))
     assert (1, 10**12, "ended", 10**12 + 90 * SECOND, True) in found and not any(r[2] == "resumed" for r in found)
     root = shared_folder(spark, "empty-test")
     spark.createDataFrame([], SESSION).write.parquet(f"{root}/in/part=000")
-    none = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], M.Sessions("at", "ends", "definite"), "ts", "10 seconds")
+    none = machine_stream(stream(spark, SESSION, root), "k", "at", ["n"], M.Sessions("at", "ends", "definite"), "10 seconds")
     assert rows_of(run_to_end(none, "append", root)) == []
     assert run_to_end(stream(spark, SESSION, root).groupBy("k").count(), "complete").count() == 0
 
@@ -162,7 +162,7 @@ def test_pairs_fire_once_and_idle_sessions_are_evicted(spark):
     mixed = sorted(rows, key=lambda r: r[2] + rng.random() * delay * 0.9)
     root = shared_folder(spark, "pairs-test")
     in_files(spark, rows, PAIRS, [mixed[i : i + 25] for i in range(0, len(mixed), 25)], root)
-    assert rows_of(run_to_end(machine_stream(stream(spark, PAIRS, root), "s", "at", ["n"], machine, "ts", "100 seconds"), "append", root)) == want
+    assert rows_of(run_to_end(machine_stream(stream(spark, PAIRS, root), "s", "at", ["n"], machine, "100 seconds"), "append", root)) == want
 
 
 def test_pairing_waits_for_the_same_index_and_for_chat_to_stop():
