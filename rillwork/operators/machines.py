@@ -46,7 +46,11 @@ class Machine:
 
 def woken(machine: Machine, state: dict, before: int, last: bool = False) -> Iterator[tuple]:
     """Wakes the machine for all that is due before a time, or up to it if that is the last."""
+    was = None
     while (at := machine.due(state)) is not None and (at < before or last and at == before):
+        if at == was:
+            raise RuntimeError(f"{type(machine).__name__} is due at {at} again after it was woken")
+        was = at
         yield from machine.wake(state, at)
 
 
@@ -287,6 +291,7 @@ class Assembler(Machine):
                 yield "skip", now, least - 1, reason
                 self._advance(state, least)
                 continue
+            state["gap"] = None
             init = held[str(now)][1]
             if init is not None and init not in state["came"]:
                 if init in state["failed"]:

@@ -24,6 +24,18 @@ def log_files(spark: SparkSession, folder: str, name: str, first: str | None = N
     return rows if file is None else rows.filter(F.col("file") == file)
 
 
+def write_logs(lines: DataFrame, folder: str, name: str, day: str, order: str) -> None:
+    """Writes each day's ``text`` in order to a file ``<name>.<day>``; a day's lines go through one task, and the driver names its file."""
+    spark = lines.sparkSession
+    lines.select(day, order, "text").repartition(day).sortWithinPartitions(day, order).select(day, "text").write.partitionBy(day).text(f"{folder}/parts")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{folder}/parts").select("path").collect()
+    jvm = spark.sparkContext._jvm
+    for path in sorted(r["path"] for r in written):
+        source = jvm.org.apache.hadoop.fs.Path(path)
+        named = path.rsplit("/", 2)[1].partition("=")[2]
+        source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.{named}"))
+
+
 def log_lines(files: DataFrame) -> DataFrame:
     """(day, file, line_no, text) of all lines, numbered from 1 in each file.
 

@@ -220,6 +220,8 @@ def drive(machine, events):
         ({"skip_count": None, "skip_us": 50}, [(0, "media", 1, None, 1, None), (200, "init", None, None, None, "x")], [("skip", 0, "time"), ("media", 1)]),
         # media wait for their init; a failed init makes them dead
         ({}, [(0, "media", 0, None, 1, "a"), (1, "media", 1, None, 1, "b"), (2, "init", 0, None, 1, "a"), (3, "failed", None, None, None, "b")], [("init", 0, "a"), ("media", 0), ("skip", 1, "upstream")]),
+        # a gap that closed has no timer, though its media waits for its init
+        ({"skip_count": None, "skip_us": 50}, [(0, "media", 1, None, 1, None), (10, "media", 0, None, 1, "a"), (500, "media", 2, None, 1, None)], []),
         # not before the first media of a stream that needs inits
         ({"skip_count": 1}, [(0, "init", 0, None, 1, "a"), (1, "media", 5, None, 1, "a"), (2, "media", 6, None, 1, "a")], []),
         # a full buffer doesn't wait
