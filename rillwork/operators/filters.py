@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordered import free
@@ -102,6 +103,11 @@ def category_matches(category: Column, allowed: tuple[str, ...] = ()) -> Column:
 
 
 def regex_matches(text: Column, pattern: str, exclude: bool = False) -> Column:
+    """Whether the text holds the pattern, or doesn't if ``exclude``; a pattern that is none matches nothing either way."""
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return F.lit(False)
     return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False)) != F.lit(exclude)
 
 

@@ -179,7 +179,7 @@ def rolling_failures(events: DataFrame) -> DataFrame:
     return rows.select("user_id", F.col("seq").alias("event_id"), ordered.rolling_count(rows, "user_id", "us", HOUR_US).alias("failures"))
 
 
-from . import files, graph, machines, predicates, relational, repair, rolling, scalars, schedules, streams  # noqa: E402, F401  they register theirs
+from . import files, graph, machines, operations, predicates, relational, repair, rolling, scalars, schedules, streams  # noqa: E402, F401  they register theirs
 
 
 def queries() -> dict[str, Query]:

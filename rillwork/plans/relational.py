@@ -54,8 +54,7 @@ def avg_with_fallback(lineitem: DataFrame) -> DataFrame:
 @query("orders", "select o_orderkey, (select count(*) from orders where o_orderstatus = 'F') total from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey limit 20 offset 40")
 def page_with_total(orders: DataFrame) -> DataFrame:
     found = orders.filter("o_orderstatus = 'F'")
-    total = F.lit(found.count()).cast("long").alias("total")
-    return store.page(found.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 20, 40).select("o_orderkey", total)
+    return store.page_with_total(found.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 20, 40).select("o_orderkey", "total")
 
 
 @joined("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
