@@ -203,3 +203,26 @@ def segment_splits(items: DataFrame, key: str, order: str, init: str, kind: str,
     rows = items.select(key, order, reason.alias("reason"))
     return rows.select(key, order, F.sum(F.col("reason").isNotNull().cast("long")).over(line).alias("part"), "reason")
 
+
+
+def hls_defragmented(items: DataFrame, key: str, order: str, kind: str, size: str, least: int = 5, held_bytes: int = 64 << 20) -> DataFrame:
+    """Drops what a new init cuts short: groups from an init on of fewer than ``least`` items, and media before the first init.
+
+    Kinds are ``ts``, ``init``, ``media`` and ``end``; others and nulls stay.  A group also ends at an end, where ``ts`` and
+    the others take turns, and with the stream: then it stays, however small.  Media before the first init that hold
+    more than ``held_bytes`` stay too.
+    """
+    names = ("turn", "starts", "group", "n", "bytes", "follow", "inits")
+    turn, starts, group, n, held, follow, inits = (free(c, items) for c in names)
+    line = _line(key, order)
+    k = F.coalesce(F.col(kind), F.lit("other"))
+    lane = F.when(k == "ts", "ts").when(k.isin("init", "media"), "mp4").otherwise(k)
+    rows = items.withColumn(turn, F.coalesce(lane != F.lag(lane).over(line), F.lit(True)) | (k == "init"))
+    rows = rows.withColumn(group, F.sum(F.col(turn).cast("long")).over(line)).withColumn(starts, F.when(F.col(turn), k)).withColumn(inits, F.count_if(k == "init").over(line))
+    own = Window.partitionBy(key, group)
+    rows = rows.withColumn(n, F.count("*").over(own)).withColumn(held, F.sum(F.coalesce(F.col(size), F.lit(0))).over(own)).withColumn(follow, F.first(starts, ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    cut = F.coalesce(F.col(follow) == "init", F.lit(False))
+    short = (F.first(starts, ignorenulls=True).over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == "init") & (F.col(n) < least)
+    early = (F.col(inits) == 0) & (F.col(held) <= held_bytes)
+    gone = free("gone", items)
+    return rows.withColumn(gone, k.isin("init", "media") & cut & (short | early)).filter(~F.col(gone)).select(*items.columns)

@@ -86,3 +86,20 @@ def coarsened_rate(rows: DataFrame, at_us: str, width_s: int, most: int = 60, da
     points = doubled.groupBy("k").agg(F.count("*").alias("points")).filter(F.col("points") - 1 <= budget).agg(F.min("k").alias("k"))
     chosen = series.join(F.broadcast(points)).withColumn("w", F.expr("shiftleft(1L, k)"))
     return chosen.groupBy((F.expr("b div w") * F.col("w") * width_s).alias("bucket_s"), (F.col("w") * width_s).alias("width_s")).agg(F.sum("n").alias("n"))
+
+
+#: Failures after which a fetch is tried again, whatever its URL; 401 and 403 need a new URL.
+RETRIED, RENEWED = ("404", "429", "5xx", "network", "timeout", "decode", "over_budget"), ("401", "403")
+
+
+def retry_verdict(kind: Column, attempt: Column, url_changed: Column, most: int, base_ms: int, budget_ms: int) -> Column:
+    """A struct of what a failure's class and attempt ask for: ``verdict`` (retry, terminal) and ``wait_ms``.
+
+    A retry waits base * 2 ** min(attempt - 1, 16); it needs an attempt left and a wait within the budget.  A status of
+    5xx counts as one class.  Nulls are terminal, and a terminal failure has no wait.
+    """
+    known = F.when(kind.rlike("^5[0-9][0-9]$"), "5xx").otherwise(kind)
+    wait = F.lit(base_ms) * F.pow(F.lit(2), F.least(attempt - 1, F.lit(16)))
+    again = (known.isin(*RETRIED) | (known.isin(*RENEWED) & url_changed)) & (attempt < most) & (wait <= budget_ms)
+    retry = F.coalesce(again, F.lit(False))
+    return F.struct(F.when(retry, "retry").otherwise("terminal").alias("verdict"), F.when(retry, wait.cast("long")).alias("wait_ms"))

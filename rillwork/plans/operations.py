@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import urls
-from rillwork.operators import store
+from rillwork.operators import repair, rolling, store
 
 from .registry import joined, query, table
 
@@ -73,3 +73,35 @@ def url_identity(pages: DataFrame) -> DataFrame:
     url = F.concat(F.lit("https://h.example/p/q"), n(7), F.lit("?z=1+2&b=%26"), n(3), F.lit("&tok=9"))
     part = urls.resolved_url(url, F.concat(F.lit("./x/../s"), F.col("page_id").cast("string"), F.lit(".ts?a=1")))
     return pages.select("page_id", url.alias("url"), urls.identity_url(url, ("tok",)).alias("identity"), part.alias("resolved"), urls.inherited_query(part, F.lit("a=2&tok=9&tok=8")).alias("inherited"))
+
+
+@query(
+    "events",
+    "with e as (select user_id, event_id, case event_type when 'view' then 'media' when 'click' then 'media' when 'purchase' then 'init' when 'error' then 'end' else 'ts' end k from events), "
+    "a as (select *, case when k = 'ts' then 'ts' when k in ('init', 'media') then 'mp4' else k end lane from e), "
+    "t as (select *, coalesce(lane <> lag(lane) over (partition by user_id order by event_id), true) or k = 'init' turn from a), "
+    "g as (select *, sum(turn::int) over (partition by user_id order by event_id) gr, count(*) filter (k = 'init') over (partition by user_id order by event_id) inits from t), "
+    "h as (select user_id, gr, count(*) n, arg_min(k, event_id) s from g group by 1, 2), f as (select *, lead(s) over (partition by user_id order by gr) follow from h) "
+    "select g.user_id, event_id from g join f using (user_id, gr) where not (k in ('init', 'media') and coalesce(follow = 'init', false) and (s = 'init' and n < 3 or inits = 0))",
+)
+def hls_defragment(events: DataFrame) -> DataFrame:
+    """Events as a playlist's items: purchases are inits, views and clicks media, errors ends, signups another kind of segment."""
+    kind = F.expr("case event_type when 'view' then 'media' when 'click' then 'media' when 'purchase' then 'init' when 'error' then 'end' else 'ts' end")
+    items = events.select("user_id", "event_id", kind.alias("kind"), F.lit(1).alias("size"))
+    return repair.hls_defragmented(items, "user_id", "event_id", "kind", "size", 3).select("user_id", "event_id")
+
+
+@query(
+    "events",
+    "with e as (select *, cast(props->>'$.k' as bigint) k, row_number() over (partition by user_id, event_type order by event_id) a from events), "
+    "c as (select event_id, a, k, case k % 9 when 0 then '404' when 1 then '503' when 2 then '403' when 3 then '401' when 4 then 'network' when 5 then 'decode' when 6 then '418' when 7 then 'timeout' end kind, event_id % 2 = 0 changed from e), "
+    "v as (select *, coalesce((kind in ('404', '503', 'network', 'decode', 'timeout') or kind in ('401', '403') and changed) and a < 12 and 250 * 2 ** least(a - 1, 16) <= 120000, false) retry from c) "
+    "select event_id, case when retry then 'retry' else 'terminal' end verdict, case when retry then cast(250 * 2 ** least(a - 1, 16) as bigint) end wait_ms from v",
+)
+def retry_verdicts(events: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    attempt = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    kinds = ("404", "503", "403", "401", "network", "decode", "418", "timeout")
+    failure = F.coalesce(*[F.when(k % 9 == i, F.lit(c)) for i, c in enumerate(kinds)])
+    rows = events.select("event_id", failure.alias("kind"), attempt.alias("attempt"), (F.col("event_id") % 2 == 0).alias("changed"))
+    return rows.select("event_id", rolling.retry_verdict(F.col("kind"), F.col("attempt"), F.col("changed"), 12, 250, 120_000).alias("v")).select("event_id", "v.verdict", "v.wait_ms")

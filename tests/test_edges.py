@@ -31,6 +31,7 @@ ADDING = {
     "ranked_candidates": (lambda d: filters.ranked_candidates(d, "k", C("h"), C("m"), [C("n")]), "place"),
     "keep_newest": (lambda d: store.keep_newest(d, "k", [C("n")], 99), "place"),
 }
+ADDING["hls_defragmented"] = (lambda d: repair.hls_defragmented(d.withColumn("x", F.lit(1)), "k", "n", "kind", "x", 3), "k")
 #: Operators that give rows of their own.
 GIVING = {
     "missing_headers": lambda d: repair.missing_headers(d, "k", "n", C("h")),
@@ -48,7 +49,7 @@ GIVING = {
 
 
 def plain(spark):
-    return spark.createDataFrame(ROWS, ITEMS)
+    return spark.createDataFrame(ROWS, ITEMS).withColumn("kind", F.when(C("h"), "init").when(C("m"), "media"))
 
 
 def rows_of(frame):
@@ -67,7 +68,8 @@ def test_adding_operators(spark, name):
     assert wide.columns[: len(items.columns) - (name == "gop_order") + len(CLASHING)] == own + list(CLASHING)
     got = wide.collect()
     assert got and all(r[c] == f"mine-{c}" for r in got for c in CLASHING)
-    value = lambda frame: sorted((str([r[c] for c in own]), str(r[frame.columns[-1]])) for r in frame.collect())
+    last = lambda frame: [] if added in own else [frame.columns[-1]]
+    value = lambda frame: sorted(str([r[c] for c in own + last(frame)]) for r in frame.collect())
     assert value(wide) == value(small)
     assert run(items.limit(0)).count() == 0
     assert added in small.columns or f"{added}_" in small.columns
