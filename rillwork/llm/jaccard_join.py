@@ -39,6 +39,8 @@ from .scratch import Scratch
 
 #: Cells in which shingles are counted, for their order; a bound on what is broadcast.
 CELLS = 1 << 20
+#: Cells whose counts are one row; a count takes as many bytes as the largest of its row.
+BLOCK = 1 << 10
 #: Rounds of comparing each set with two pivots of each of its tiles, at most; one follows if this share of a round's pairs linked.
 PIVOT_ROUNDS, LEAST_LINKED = 2, 0.5
 #: Shingles that stand out by more occurrences than this have their tiles dealt into parts of about so many.
@@ -66,11 +68,11 @@ def _set_digests(v: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, is_cell): a digest of each document's set.
+    """(doc_id, n_shingles, h1, h2, counts): a digest of each document's set.
 
-    Where is_cell, how many shingles (h2) fall in a cell (h1) in some part of the table.
+    Where ``counts`` isn't null, it has how many shingles fall in the cells of a block (h1) in some part of the table.
     """
-    names = ["doc_id", "n_shingles", "h1", "h2", "is_cell"]
+    names = ["doc_id", "n_shingles", "h1", "h2", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(CELLS, np.int64)
@@ -84,12 +86,29 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
                     out.append(digest)
                 size.append(np.diff(at))
             flat = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (size, one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *flat, pa.array(np.zeros(batch.num_rows, bool))], names)
-        cell = np.flatnonzero(count)
-        none = pa.nulls(len(cell), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(cell), pa.array(count[cell]), pa.array(np.ones(len(cell), bool))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *flat, pa.nulls(batch.num_rows, pa.binary())], names)
+        none = pa.nulls(CELLS // BLOCK, pa.int64())
+        packed = [c.astype(np.min_scalar_type(c.max())).tobytes() for c in count.reshape(-1, BLOCK)]
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(np.arange(CELLS // BLOCK)), none, pa.array(packed, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, is_cell boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, counts binary")
+
+
+def _cell_counts(digests: DataFrame) -> np.ndarray:
+    """How many shingles fall in each cell; a task adds up the blocks that are dealt to it, one row after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(packed, f"u{len(packed) // BLOCK}").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["h1", "counts"])
+
+    found = digests.filter("counts is not null").select("h1", "counts").repartition("h1").mapInArrow(run, "h1 long, counts binary").toArrow()
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
+    for block, packed in zip(found["h1"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(packed, np.int64)
+    return out.ravel()
 
 
 def _required(n: Column, other: Column, percent: int) -> Column:
@@ -268,10 +287,7 @@ def _sig_fits(n: Column, sig: Column, other_n: Column, other_sig: Column, percen
 
 def _digest_columns(docs: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     seen = scratch.put("digests", _digests(docs, n))
-    found = seen.filter("is_cell").groupBy("h1").agg(F.sum("h2").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[found["h1"].to_numpy()] = found["n"].to_numpy()
-    return seen.filter("not is_cell").drop("is_cell"), counts
+    return seen.filter("counts is null").drop("counts"), _cell_counts(seen)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
