@@ -24,9 +24,13 @@ from .scratch import Scratch
 N_SHARDS = 16
 BUCKET_BYTES = 32 << 20
 #: Buckets at least.  Their number must not depend on the cluster, or a rerun elsewhere would order records otherwise.
+#: Buckets whose counts are added up before their block is placed.
+BLOCK = 4096
 LEAST_BUCKETS = 64
 #: Records of equal key are spread if they fill more than this part of a bucket.
 HOT_PART = 8
+#: Hot keys that go to all tasks at most; beyond that records meet them by a shuffle.
+HOT_AT_ONCE = 1_000_000
 SEED = 11
 #: What scatters whole documents, and the size of one in SQL.
 DOCUMENT_KEY = ("doc_id", "text")
@@ -53,31 +57,49 @@ def external_shuffle(records: DataFrame, key: list[str], n_shards: int = N_SHARD
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])
     placed = records.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), hashed.alias("place"))
     sizes = records.select(hashed.alias("place"), F.expr(record_bytes).alias("size")).groupBy("place").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    n_bytes, hot = sizes.agg(F.sum("size"), F.collect_list(F.when((F.col("n") > 1) & (F.col("size") > bucket_bytes // HOT_PART), F.col("place")))).first()
+    often = (F.col("n") > 1) & (F.col("size") > bucket_bytes // HOT_PART)
+    n_bytes, n_hot = sizes.agg(F.sum("size"), F.count_if(often)).first()
     n = max(LEAST_BUCKETS, -(-int(n_bytes or 0) // bucket_bytes))
-    if hot:
+    if n_hot:
         # equal records are counted, not gathered; each copy has a place of its own
-        copies = placed.filter(F.col("place").isin(hot)).groupBy("place", "row").count().withColumn("copy", F.explode(F.expr("sequence(1L, count)")))
+        hot = sizes.filter(often).select("place")
+        hot = F.broadcast(hot) if n_hot <= HOT_AT_ONCE else hot
+        copies = placed.join(hot, "place", "left_semi").groupBy("place", "row").count().withColumn("copy", F.explode(F.expr("sequence(1L, count)")))
         own = [F.col("row").getField(c) for c, kind in records.dtypes if "map<" not in kind]
-        placed = placed.filter(~F.col("place").isin(hot)).unionByName(copies.select("row", F.xxhash64("place", "copy", *own).alias("place")))
+        placed = placed.join(hot, "place", "left_anti").unionByName(copies.select("row", F.xxhash64("place", "copy", *own).alias("place")))
     scattered = placed.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(n)))
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = counts.select(F.col("bucket").alias("of"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    starts = _starts(counts).toDF("bucket", "start", "total")
     flat = scattered.select("bucket", "place", *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(columns)])
     tie = [f"c{i}" for i, (c, kind) in enumerate(records.dtypes) if c not in key and not kind.startswith(("array", "map", "struct"))]
 
-    def order(rows: pa.Table) -> pa.Table:
+    def order(rows: pa.Table, starts: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("place", *tie)])
         out = rows.take(pa.array(fisher_yates(len(rows), np.random.default_rng([seed, rows["bucket"][0].as_py()]))))
-        return out.drop_columns("place").append_column("inside", pa.array(np.arange(len(out), dtype=np.int64)))
-
-    shuffled = flat.groupBy("bucket").applyInArrow(order, ", ".join(["bucket long", *[f"c{i} {kind}" for i, (_, kind) in enumerate(records.dtypes)], "inside long"]))
+        out = out.drop_columns("place").append_column("inside", pa.array(np.arange(len(out), dtype=np.int64)))
+        for c in ("start", "total"):
+            out = out.append_column(c, pa.array(np.full(len(out), starts[c][0].as_py(), np.int64)))
+        return out
+
+    schema = ", ".join(["bucket long", *[f"c{i} {kind}" for i, (_, kind) in enumerate(records.dtypes)], "inside long, start long, total long"])
+    # each bucket meets the one row that has its start, so nothing of the number of buckets goes to all tasks
+    shuffled = flat.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(order, schema)
     at = F.col("start") + F.col("inside")
     shard = F.expr(f"((start + inside) * {n_shards}) div total")
     # the first place whose shard is k is k * total / n_shards, rounded up
     slot = at - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
-    return shuffled.join(F.broadcast(starts), F.col("bucket") == F.col("of")).withColumn("shard", shard).withColumn("slot", slot).select(*own, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return shuffled.withColumn("shard", shard).withColumn("slot", slot).select(*own, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+
+
+def _starts(counts: DataFrame) -> DataFrame:
+    """(bucket, start, total): how many records the buckets before have; blocks of ``BLOCK`` buckets are added up first."""
+    block = F.expr(f"bucket div {BLOCK}").alias("block")
+    blocks = counts.groupBy(block).agg(F.sum("n").alias("m"))
+    before = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("bucket")) - F.col("n")
+    placed = counts.select("bucket", "n", block).join(before, "block")
+    return placed.select("bucket", (F.col("before") + inside).alias("start")).join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
 
 
 def write_shards(shuffled: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from rillwork.llm import sharding
 from rillwork.llm.sharding import external_shuffle, fisher_yates, shard_documents, shard_manifest, write_shards
 
 
@@ -85,3 +86,21 @@ def test_order_does_not_follow_the_shuffle_partitions(spark):
         seen.append(sorted(map(tuple, shard_documents(docs).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert seen[0] == seen[1]
+
+
+def test_many_buckets_and_hot_keys(spark, monkeypatch):
+    """64 times the buckets, a thousand keys that would fill one: nothing of either goes through the driver or to all tasks."""
+    rows = [(i % 1000, "h" * 40) for i in range(6000)] + [(10_000 + i, "x" * (i % 30)) for i in range(3000)]
+    records = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = external_shuffle(records, ["doc_id", "text"], 16, bucket_bytes=200).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in want) == Counter(rows)
+    check_rows_law([r["shard"] for r in want], [r["slot"] for r in want], 16)
+    monkeypatch.setattr(sharding, "LEAST_BUCKETS", 64 * 64)
+    monkeypatch.setattr(sharding, "BLOCK", 10)
+    monkeypatch.setattr(sharding, "HOT_AT_ONCE", 0)
+    got = external_shuffle(records, ["doc_id", "text"], 16, bucket_bytes=200)
+    # one row is all that is sent to all tasks
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 1
+    rows_got = got.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows_got) == Counter(rows)
+    check_rows_law([r["shard"] for r in rows_got], [r["slot"] for r in rows_got], 16)
