@@ -260,7 +260,8 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], ["key", "file", "offset", "length"])
 
     routed = keys.select(F.coalesce("key", F.lit("")).alias("key")).distinct().mapInArrow(route, "shard int, key string")
-    return routed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, _ENTRY)
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return routed.repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(search, _ENTRY)
 
 
 def parsed(member: bytes) -> tuple[str, str | None, str | None, int, str, str | None, bytes]:
@@ -306,7 +307,9 @@ def read_records(entries: DataFrame, folder: str, payloads: bool = True) -> Data
             rows = [parsed(data[at - begin : at - begin + length]) for _, at, length in near]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    placed = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # an entry is small beside the record it stands for, so the number of tasks doesn't follow the entries' bytes
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = entries.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in names))
 
 
