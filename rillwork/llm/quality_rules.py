@@ -141,7 +141,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     if not references:
         return seen.select(*base, (~F.col("base_failed")).alias("kept"), F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"))
-    pairs = [F.struct(distance(F.col("p"), [r[f"p{i}"] for i in range(n_chars)]).alias("c"), distance(F.col("w"), [r[f"w{i}"] for i in range(n_common)]).alias("w")) for r in references]
+    # rounded, as means of doubles depend on the order in which rows come
+    rounded = [([round(r[f"p{i}"], 9) for i in range(n_chars)], [round(r[f"w{i}"], 9) for i in range(n_common)]) for r in references]
+    pairs = [F.struct(distance(F.col("p"), chars).alias("c"), distance(F.col("w"), common).alias("w")) for chars, common in rounded]
     known = F.coalesce(F.col("lang").isin(*[r["lang"] for r in references]), F.lit(True))
     applies = judged & known
     # the reference that is nearest by the larger of the two distances, each in parts of its limit
