@@ -57,6 +57,8 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     shapes, shape_at = _shapes(texts)
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
+    # a text's first word has none before it, whatever text stands before
+    same[at[:-1][at[:-1] < len(words)]] = False
     shapes = np.where(same, np.uint64(1), shapes)
     mask = np.uint64((1 << BITS) - 1)
     channel = 0
