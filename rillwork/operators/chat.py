@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GIFT_KINDS = ("purchase", "signup")
-#: The reference's list: English, Chinese, chat expressions.
+# Words that don't count, in English and Chinese, and chat expressions.
 STOP_WORDS = tuple(
     """
     the a an is are was were be been being have has had do does did will would could should may might must shall can need dare to of in for on with at by
