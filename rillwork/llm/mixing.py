@@ -124,6 +124,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_shards: int = N_S
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.pmod(key, F.lit(LINE_PARTS)).alias("part"), *row)
+    # a source as a key that is never null, so that the window and the join after it share one shuffle of the documents
+    sized = sized.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     parts = Scratch(docs.sparkSession, "mixing").put("parts", sized.groupBy("source", "part").agg(F.sum("size").alias("size")))
     runs = (
         shard_quotas(source_targets(parts.select("source", "size"), weights), n_shards, blocks_per_shard, BLOCKS_PER_TARGET)
@@ -137,10 +139,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_shards: int = N_S
     )
     same = F.col("source").eqNullSafe(F.col("run_source"))
     before = F.sum("size").over(Window.partitionBy("rank").orderBy("part")) - F.col("size")
-    parts = parts.join(runs.select("run_source", "rank"), same).select(F.col("rank").alias("part_rank"), F.col("part").alias("of_part"), before.alias("part_start"))
-    inside = Window.partitionBy("rank", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    line = sized.join(runs, same, "left").withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    line = line.join(parts, (F.col("rank") == F.col("part_rank")) & (F.col("part") == F.col("of_part")), "left").withColumn("at", F.col("part_start") + F.col("inside"))
+    of_key = F.coalesce(F.concat(F.lit("="), "run_source"), F.lit("")).alias("of_key")
+    parts = parts.join(runs, same).select(of_key, F.col("part").alias("of_part"), before.alias("part_start"), *[c for c in runs.columns if c not in ("run_source", "rank")])
+    inside = Window.partitionBy("source_key", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+    line = line.join(parts, (F.col("source_key") == F.col("of_key")) & (F.col("part") == F.col("of_part")), "left").withColumn("at", F.col("part_start") + F.col("inside"))
 
     def seats(block: Column) -> Column:
         """How often the blocks before this one are selected, all together."""
