@@ -11,6 +11,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, Spark frees a query's shuffle files as soon as the query ends, not when the driver collects garbage.
+FREED_AT_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,7 +34,13 @@ class Scratch:
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df once and returns a frame that reads it back."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(FREED_AT_END)
+        conf.set(FREED_AT_END, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(FREED_AT_END, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

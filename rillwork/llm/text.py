@@ -87,6 +87,15 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((pre[ends] - pre[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """What span_hashes gives for each run of ``width`` bytes."""
+    n = max(len(buf) - width + 1, 0)
+    power, inverse = _powers(len(buf) + 1)
+    pre = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_VALUES[buf] * power[: len(buf)], out=pre[1:])
+    return mixed((pre[width:] - pre[:n]) * inverse[:n] + np.uint64(width))
+
+
 def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text where its words start (one more at the end)."""
     buf, at = joined(texts)

@@ -1,6 +1,7 @@
 """Removal of repeated strings against brute force over all windows."""
 
 import hashlib
+from pathlib import Path
 
 from rillwork.llm.substring_dedup import remove_repeats
 
@@ -47,3 +48,24 @@ def test_null_ids_repeated_rows_long_texts_and_clashing_columns(spark):
     # a null id is larger than any other
     (last,) = [r for r in found if r[0] is None]
     assert last[1:] == brute([*rows, (10**9, "null " + line)])[-1][1:]
+
+
+def test_leaves_little_on_disk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    size = sum(len((t or "").encode()) for _, t in docs.collect())
+    local = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    roots = [*local, spark.conf.get("spark.checkpoint.dir").removeprefix("file://")]
+    files = lambda: {p: p.stat().st_size for r in roots for p in Path(r).rglob("*") if p.suffix in (".parquet", ".data")}
+    before = files()
+    left = remove_repeats(docs)
+    # shuffles of the steps are freed, and of their tables only what documents are told stays
+    assert sum(n for p, n in files().items() if p not in before) < 0.3 * size
+    assert left.count() == docs.count()
+
+
+def test_periodic_texts_and_many_in_a_chunk(spark):
+    period = "abcdefghijklmnopqrstuvwxyz0123456789 " * 40
+    rows = [(1, period[5:900]), (2, "x" * 300), (3, "y" + period), (4, "x" * 120 + period[:70] + "x" * 49), (5, "x" * 49)]
+    rows += [(i, f"{i:05d} " + period[i % 37 : i % 37 + i % 90] + f" {i * i} " + "a line that many short texts have, 50 bytes and more" * (i % 3 == 0)) for i in range(6, 300)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept")
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
