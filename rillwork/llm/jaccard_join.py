@@ -94,7 +94,7 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, counts binary")
 
 
-def _cell_counts(digests: DataFrame) -> np.ndarray:
+def _cell_counts(digests: DataFrame, scratch: Scratch) -> np.ndarray:
     """How many shingles fall in each cell; a task adds up the blocks that are dealt to it, one row after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,8 @@ def _cell_counts(digests: DataFrame) -> np.ndarray:
                 sums[block] = sums.get(block, 0) + np.frombuffer(packed, f"u{len(packed) // BLOCK}").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["h1", "counts"])
 
-    found = digests.filter("counts is not null").select("h1", "counts").repartition("h1").mapInArrow(run, "h1 long, counts binary").toArrow()
+    found = scratch.put("counts", digests.filter("counts is not null").select("h1", "counts").repartition("h1").mapInArrow(run, "h1 long, counts binary")).toArrow()
+    scratch.drop("counts")
     out = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
     for block, packed in zip(found["h1"].to_pylist(), found["counts"].to_pylist(), strict=True):
         out[block] = np.frombuffer(packed, np.int64)
@@ -285,9 +286,14 @@ def _sig_fits(n: Column, sig: Column, other_n: Column, other_sig: Column, percen
     return (100 + percent) * (n + other_n - differ) >= 2 * _required(n, other_n, percent)
 
 
+def _as_links(known: DataFrame) -> DataFrame:
+    """The links (a, b) of ids to their components: as connected as those that the components came from, and fewer."""
+    return known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def _digest_columns(docs: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     seen = scratch.put("digests", _digests(docs, n))
-    return seen.filter("counts is null").drop("counts"), _cell_counts(seen)
+    return seen.filter("counts is null").drop("counts"), _cell_counts(seen, scratch)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -307,9 +313,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     for k in range(PIVOT_ROUNDS):
         if k:
             # another round is worth its cost if a fair part of what was compared links
-            if links.count() <= LEAST_LINKED * compared:
+            if found.count() <= LEAST_LINKED * compared:
                 break
-            left = scratch.put(f"rows-{k}", _divided(left, scratch.put(f"known-{k}", components(links, scratch, f"components-{k}"))))
+            known = scratch.put(f"known-{k}", components(links, scratch, f"components-{k}"))
+            left = scratch.put(f"rows-{k}", _divided(left, known))
+            links = _as_links(known)
             used += [f"rows-{k}", f"known-{k}"]
         met = None
         for p in ("p1", "p2"):
@@ -332,8 +340,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     fits = _place_fits(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"), percent) & _sig_fits(F.col("n"), F.col("sig"), F.col("other_n"), F.col("other_sig"), percent)
     cross = x.join(y, (x["key"] == y["key"]) & (x["tile"] == y["tile"]) & (x["part"] == y["part"]) & far & (F.col("id") < F.col("other_id")) & fits)
     last = _verified(_pairs(cross.select("id", F.col("other_id").alias("other"))), sets, known_ids, n, percent, scratch, "links")
-    links = links.unionByName(last)
-    final = scratch.put("components", components(links, scratch, "all-components"))
+    final = known
+    if not last.isEmpty():
+        final = scratch.put("components", components(_as_links(known).unionByName(last), scratch, "all-components"))
     whole = sets.join(final, "id", "left").select(F.col("n").alias("c_n"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), F.coalesce("component", "id").alias("component"))
     whole = scratch.put("classes", whole)
     for name in (*used, "known", "rest", "links", "sets", "components"):
