@@ -48,12 +48,16 @@ def xml_line(offset_ms: Column, kind: Column, at_ms: Column, user_id: Column, us
 
 
 def write_recordings(lines: DataFrame, folder: str) -> None:
-    """Writes (segment, order, line) as one XML file for each segment, below ``segment=<segment>``; a segment's lines go through one task."""
-    ends = lines.select("segment").distinct()
-    framed = lines.select("segment", F.lit(1).alias("part"), "order", "line")
-    for part, text in ((0, HEAD), (2, FOOT)):
-        framed = framed.unionByName(ends.select("segment", F.lit(part).alias("part"), F.lit(None).cast(dict(lines.dtypes)["order"]).alias("order"), F.lit(text).alias("line")))
-    framed.repartition("segment").sortWithinPartitions("segment", "part", "order").select("segment", "line").write.partitionBy("segment").option("maxRecordsPerFile", 0).text(folder)
+    """Writes (segment, order, line) as one XML file for each segment, below ``segment=<segment>``; a segment's lines go through one task.
+
+    The head and the foot go with a segment's first and last line, through the same window: as rows of their own, in a union,
+    they would need a shuffle that Spark leaves out where it takes the union for partitioned by segment already.
+    """
+    line = Window.partitionBy("segment").orderBy("order")
+    head = F.when(F.row_number().over(line) == 1, F.lit(HEAD))
+    foot = F.when(F.lead(F.lit(True)).over(line).isNull(), F.lit(FOOT))
+    framed = lines.select("segment", "order", F.concat_ws("\n", head, F.coalesce("line", F.lit("")), foot).alias("line"))
+    framed.sortWithinPartitions("segment", "order").select("segment", "line").write.partitionBy("segment").option("maxRecordsPerFile", 0).text(folder)
 
 
 def read_recordings(spark: SparkSession, folder: str) -> DataFrame:

@@ -105,6 +105,27 @@ def test_recordings_are_read_back(spark, tmp_path):
     ], key=str)
 
 
+def test_recordings_of_many_lines_are_whole_files(spark, tmp_path):
+    """One file for each segment, also if Spark joins fewer partitions of the lines than of their heads and feet."""
+    setting = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    rows = spark.range(0, 6000, 1, 4).selectExpr("int(id % 6) as segment", "1700000000000 + id as at", "if(id % 5 = 0, 'gift', 'chat') as kind", "string(id % 97) as uid", "string(id) as text")
+    rows = rows.withColumn("row", F.expr("row_number() over (partition by segment order by at)"))
+    c = F.col
+    line = recordings.xml_line(c("at") - START, c("kind"), c("at"), c("uid"), c("uid"), c("text"), F.lit(None).cast("string"), F.lit("{}"), c("row"))
+    try:
+        spark.conf.set(setting, "4k")
+        recordings.write_recordings(rows.select("segment", c("at").alias("order"), line.alias("line")), f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset(setting)
+    files = sorted((tmp_path / "out").glob("segment=*/*.txt"))
+    assert [f.parent.name for f in files] == [f"segment={s}" for s in range(6)]
+    for f in files:
+        stamps = [int(x.get("timestamp") or x.get("p").split(",")[4]) - START for x in ET.fromstring(f.read_text())]
+        assert stamps == list(range(int(f.parent.name[-1]), 6000, 6))
+    got = recordings.read_recordings(spark, f"file://{tmp_path}/out").select("kind", "timestamp_ms", "row_id").collect()
+    assert sorted(tuple(r) for r in got) == sorted(("gift", START + i, f"gift-{i // 30 + 1}") if i % 5 == 0 else ("chat", START + i, str(i // 6 + 1)) for i in range(6000))
+
+
 def test_older_and_broken_recordings(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<?xml version="1.0"?><i><d p="1.5,4,25,1,1700000000,0,ab,7 user=Old Name">x</d><d p="1,2,3">short</d><d p="t,1,25,1,1,0,a,8">no time</d><gift giftname="no time"></gift><sc ts="9" uid="q" timestamp="">pay</sc></i>')
     got = recordings.read_recordings(spark, f"file://{tmp_path}").collect()
