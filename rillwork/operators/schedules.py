@@ -51,32 +51,68 @@ def _listed(day: Column, days: tuple[str, ...]) -> Column:
     return ((day + 4) % 7).isin(*[_WEEK[d.lower()[:3]] for d in days])
 
 
+def _day(local: Column) -> Column:
+    """The day of a local time, counted from the epoch on."""
+    return F.call_function("div", local - F.pmod(local, F.lit(DAY)), F.lit(DAY))
+
+
 def in_window(at: Column, days: tuple[str, ...], start: str, end: str, zone: str) -> Column:
     """Whether an instant is in the window, which goes over midnight if its end comes before its start."""
     return filters.in_schedule(_clock(local_us(at, zone)), days, start, end)
 
 
-def next_opening(at: Column, days: tuple[str, ...], start: str, zone: str) -> Column:
-    """The next instant, up to seven days on, at which the window opens; days on which that local time comes never or twice are left out."""
-    today = F.floor(local_us(at, zone) / DAY)
-    opens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((today + k).alias("day"), instants((today + k) * DAY + _of_day(start), zone).alias("at")))
-    fit = F.filter(opens, lambda o: (F.size(o["at"]) == 1) & (o["at"][0] > at) & _listed(o["day"], days))
-    return F.array_min(F.transform(fit, lambda o: o["at"][0]))
+def _openings(day: Column, days: tuple[str, ...], start: str, zone: str) -> Column:
+    """The instants, ascending, at which the window opens on a day and the seven after it; days on which that local time comes never or twice are left out."""
+    opens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((day + k).alias("day"), instants((day + k) * DAY + _of_day(start), zone).alias("at")))
+    fit = F.filter(opens, lambda o: (F.size(o["at"]) == 1) & _listed(o["day"], days))
+    return F.array_sort(F.transform(fit, lambda o: o["at"][0]))
 
 
-def next_closing(at: Column, days: tuple[str, ...], start: str, end: str, zone: str) -> Column:
-    """When the window that an instant is in closes; null outside.
+def _closing(day: Column, days: tuple[str, ...], start: str, end: str, zone: str) -> Column:
+    """When the window that is open at some time of a day closes.
 
     If the clock goes back over that time, the later instant counts; if it is skipped, the first minute after the gap.
     """
-    today = F.floor(local_us(at, zone) / DAY)
     over = _of_day(start) > _of_day(end)
-    day = F.when(_listed(today, days), today + 1).otherwise(today) if over else today
-    closes = day * DAY + _of_day(end)
+    closes = (F.when(_listed(day, days), day + 1).otherwise(day) if over else day) * DAY + _of_day(end)
     found = instants(closes, zone)
     beyond = F.transform(F.sequence(F.lit(1), F.lit(180)), lambda m: F.array_max(instants(closes + m.cast("long") * MINUTE, zone)))
     first = F.get(F.filter(beyond, lambda u: u.isNotNull()), F.lit(0))
-    return F.when(in_window(at, days, start, end, zone), F.when(F.size(found) > 0, F.array_max(found)).otherwise(first)).cast("long")
+    return F.when(F.size(found) > 0, F.array_max(found)).otherwise(first).cast("long")
+
+
+def _next(openings: Column, at: Column) -> Column:
+    return F.get(F.filter(openings, lambda o: o > at), F.lit(0))
+
+
+def next_opening(at: Column, days: tuple[str, ...], start: str, zone: str) -> Column:
+    """The next instant, up to seven days on, at which the window opens; days on which that local time comes never or twice are left out.
+
+    This tries many instants for each row; ``window_edges`` does for each day.
+    """
+    return _next(_openings(_day(local_us(at, zone)), days, start, zone), at)
+
+
+def next_closing(at: Column, days: tuple[str, ...], start: str, end: str, zone: str) -> Column:
+    """When the window that an instant is in closes; null outside.  This tries many instants for each row, too."""
+    return F.when(in_window(at, days, start, end, zone), _closing(_day(local_us(at, zone)), days, start, end, zone))
+
+
+def window_edges(rows: DataFrame, at: str, days: tuple[str, ...], start: str, end: str, zone: str) -> DataFrame:
+    """Adds ``inside``, ``opens`` and ``closes``: whether a row's instant is in the window, and what ``next_opening`` and ``next_closing`` give.
+
+    Edges are found once for each local day that the rows have; those go to all tasks, a row meets its day's.
+    If the rows have columns of these names, the added ones have an underscore behind theirs.
+    """
+    local, day, opening, closing = (free(c, rows) for c in ("local", "day", "openings", "closing"))
+    timed = rows.withColumn(local, local_us(F.col(at), zone)).withColumn(day, _day(F.col(local)))
+    # the column alone, so that only the times are read for it
+    found = timed.select(day).filter(F.col(day).isNotNull()).distinct()
+    edges = found.select(day, _openings(F.col(day), days, start, zone).alias(opening), _closing(F.col(day), days, start, end, zone).alias(closing))
+    met = timed.join(F.broadcast(edges), day, "left")
+    inside = filters.in_schedule(_clock(F.col(local)), days, start, end)
+    added = {"inside": inside, "opens": _next(F.col(opening), F.col(at)), "closes": F.when(inside, F.col(closing))}
+    return met.select(*rows.columns, *[c.alias(free(n, rows)) for n, c in added.items()])
 
 
 def cron_parts(cron: str) -> tuple[list[int], list[list[int]]]:

@@ -28,8 +28,7 @@ def _times(events: DataFrame) -> DataFrame:
     "case when case when today then s >= 81000000000 or s < 9900000000 else before and s < 9900000000 end then (case when today then day + 1 else day end) * 86400000000 + 9900000000 - 3600000000 end closes from w left join n using (event_id)",
 )
 def window_edges_zoned(events: DataFrame) -> DataFrame:
-    at, asked = F.col("us"), (_DAYS, "22:30", "02:45", "Europe/Berlin")
-    return _times(events).select("event_id", schedules.in_window(at, *asked).alias("inside"), schedules.next_opening(at, _DAYS, "22:30", "Europe/Berlin").alias("opens"), schedules.next_closing(at, *asked).alias("closes"))
+    return schedules.window_edges(_times(events), "us", _DAYS, "22:30", "02:45", "Europe/Berlin").drop("us")
 
 
 @query(

@@ -74,6 +74,38 @@ def test_window_edges_over_both_changeovers(spark, zone):
                 assert r["closes"] == of[closes][-1], (zone, local(t, zone), end)
 
 
+def test_window_edges_of_many_rows_are_found_by_day(spark):
+    """100,000 rows over both changes of the clock, against the clock of each minute; row by row this took minutes."""
+    zone, days, start, end = "Europe/Berlin", ("Sun", "Mon", "Sat"), "22:15", "02:30"
+    for first in SPANS[zone]:
+        t0 = us(datetime(*first, tzinfo=UTC))
+        step = 14 * 86_400_000_000 // 50_000
+        rows = spark.range(0, 50_000, 1, 1).select((t0 + F.col("id") * step).alias("t"), F.lit(1).alias("day"), F.lit("x").alias("Opens")).unionByName(spark.createDataFrame([(None, 2, "y")], "t long, day int, Opens string"))
+        edges = schedules.window_edges(rows, "t", days, start, end, zone)
+        assert edges.columns == ["t", "day", "Opens", "inside", "opens_", "closes"]
+        got = {r["t"]: r for r in edges.collect()}
+        assert len(got) == 50_001 and tuple(got.pop(None)) == (None, 2, "y", None, None, None)
+        # openings and closings of the time around, by the clock of each minute
+        opens, closes, seen = [], {}, {}
+        for u, c in minutes_by_clock(zone, (datetime(*first) - timedelta(days=2)).timetuple()[:3], 25):
+            seen.setdefault(c, []).append(u)
+        for c, of in seen.items():
+            if c.strftime("%H:%M") == start and DAYS[(c.weekday() + 1) % 7] in days and len(of) == 1:
+                opens.append(of[0])
+        opens.sort()
+        for d in {c.date() for c in seen}:
+            c = datetime(d.year, d.month, d.day, 2, 30)
+            while c not in seen and c.hour < 6:
+                c += timedelta(minutes=1)
+            closes[d] = seen.get(c, [None])[-1]
+        for t, r in got.items():
+            here = local(t, zone)
+            inside = plain_in(t, days, start, end, zone)
+            closing = closes[here.date() + timedelta(days=DAYS[(here.weekday() + 1) % 7] in days)] if inside else None
+            assert (r["inside"], r["opens_"], r["closes"]) == (inside, next(o for o in opens if o > t), closing), here
+    assert schedules.window_edges(rows.limit(0), "t", days, start, end, zone).count() == 0
+
+
 @pytest.mark.parametrize("zone", [*sorted(SPANS), "UTC"])
 @pytest.mark.parametrize("cron", ["*/20 1-3 * * *", "0 30 2 * * Sun", "5 * * 3-4,10-11 *", "* 0-23 * * 0,6", "0 0 12 1 * ?", "59 23 * * *"])
 def test_cron_edges_over_both_changeovers(spark, zone, cron):
