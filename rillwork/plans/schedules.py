@@ -59,8 +59,8 @@ def gifters_bounded(events: DataFrame) -> DataFrame:
 @query("documents", None)
 def word_hitters_bounded(documents: DataFrame) -> DataFrame:
     """Words of all documents through 20,000 counters in each task."""
-    word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+"))
-    return hitters.heavy_hitters(documents.select(word.alias("word")).filter(F.length("word") >= 2), "word", 20_000).limit(200)
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+")
+    return hitters.heavy_hitters(documents.select(F.filter(words, lambda w: F.length(w) >= 2).alias("word")), "word", 20_000).limit(200)
 
 
 @query("events", None)

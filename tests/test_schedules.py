@@ -4,6 +4,7 @@ import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,52 @@ def test_heavy_hitters_hold_their_bounds(spark):
     assert hitters.heavy_hitters(frame.limit(0), "u", 80).count() == 0
 
 
+def test_heavy_hitters_read_their_rows_once_and_in_arrays(spark):
+    """The floors of all tasks come from the same pass as the counters; arrays of keys count as their elements do."""
+    rng = random.Random(11)
+    rows = [([f"w{int(rng.paretovariate(0.6)) % 5000}" if rng.random() < 0.97 else None for _ in range(rng.randrange(60))] if rng.random() < 0.98 else None, rng.choice([None, 0, 1, 4])) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "ws array<string>, w long").repartition(3)
+    plain = frame.select(F.explode("ws").alias("ws"), "w")
+    for weight in (None, "w"):
+        true = {}
+        for ws, w in rows:
+            for x in ws or ():
+                if x is not None:
+                    true[x] = true.get(x, 0) + (max(w or 1, 1) if weight else 1)
+        for asked in (frame, plain):
+            found = hitters.heavy_hitters(asked, "ws", 300, weight)
+            got = found.collect()
+            assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("MapInArrow") == 1
+            assert len(got) == 300 and got == sorted(got, key=lambda r: (-r["n"], r["ws"])) and any(r["error"] for r in got)
+            assert all(r["n"] - r["error"] <= true[r["ws"]] <= r["n"] for r in got)
+            # nothing that isn't held has more than all floors together
+            floors = hitters.summaries(asked, "ws", weight, 300).filter("ws is null").agg(F.sum("n")).first()[0]
+            held = {r["ws"] for r in hitters.summaries(asked, "ws", weight, 300).collect()}
+            assert floors > 0 and all(n <= floors for x, n in true.items() if x not in held)
+            assert sorted(true, key=lambda x: -true[x])[:10] == [r["ws"] for r in got][:10]
+            # all keys fit: exact
+            assert {(r["ws"], r["n"], r["error"]) for r in hitters.heavy_hitters(asked, "ws", 6000, weight).collect()} == {(x, n, 0) for x, n in true.items()}
+
+
+def test_sums_of_stretches(monkeypatch):
+    """Keys in arrays are cut into stretches with their rows' weights, and null ones left out."""
+    monkeypatch.setattr(hitters, "STRETCH", 3)
+    rows = [(["a", "b", "a"], 2), ([], 5), (["b", None, "c", "a", "a"], 1), (None, 9), (["c"], 7)]
+    for weighted in (False, True):
+        want = {}
+        for ws, w in rows:
+            for x in ws or ():
+                if x is not None:
+                    want[x] = want.get(x, 0) + (w if weighted else 1)
+        batch = pa.record_batch({"key": pa.array([ws for ws, _ in rows], pa.list_(pa.string()))} | ({"n": pa.array([w for _, w in rows])} if weighted else {}))
+        sums = list(hitters._sums(batch, pa.string()))
+        got = {}
+        for some in sums:
+            for r in some.to_pylist():
+                got[r["key"]] = got.get(r["key"], 0) + r["n"]
+        assert len(sums) == 3 and got == want
+
+
 def test_a_key_s_hitters_are_given_while_rows_come(spark):
     rows = [(1, n, n * 10, f"u{n % 40 if n % 2 else 1}", None) for n in range(200)]
     frame = spark.createDataFrame(rows, "k long, n long, at long, u string, w long")
